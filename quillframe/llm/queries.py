@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import neardup, overlap
+from quillframe.llm import canon, neardup, overlap
 from quillframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.shared_spans(table(spark, sf_dir, "tasks"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.odd_items(table(spark, sf_dir, "ocr_lines"), table(spark, sf_dir, "ocr_blocks"))
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.canonical_items(table(spark, sf_dir, "ocr_lines"), table(spark, sf_dir, "ocr_blocks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "tasks"))
 
@@ -37,6 +45,8 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p2_coverage": p2_coverage,
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
 }
