@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import canon, neardup, overlap
+from quillframe.llm import canon, garbled, neardup, overlap
 from quillframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,18 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(table(spark, sf_dir, "tasks"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.restored_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.swaps_by_source(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -49,6 +61,9 @@ QUERIES: dict[str, Query] = {
     "p3_canonical": p3_canonical,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
+    "p8_swaps": p8_swaps,
 }
 
 SQL: dict[str, str] = {}
