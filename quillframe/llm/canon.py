@@ -15,7 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import name_free
@@ -70,8 +70,8 @@ def mapping() -> dict[str, str]:
     return table
 
 
-def _class(chars: str) -> str:
-    """A character class, as ranges, that Java and Python read alike."""
+def _class(chars: str) -> list[tuple[int, int]]:
+    """The ranges of a character class, as (first, last) code points."""
     codes = sorted(set(map(ord, chars)))
     out, i = [], 0
     while i < len(codes):
@@ -83,10 +83,6 @@ def _class(chars: str) -> str:
     return out
 
 
-def _java(ranges: list[tuple[int, int]]) -> str:
-    return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
-
-
 def _python(ranges: list[tuple[int, int]]) -> str:
     return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
 
@@ -100,7 +96,7 @@ class Transducer:
         marks = "".join({k[-1] for k in self.table if len(k) > 1})
         jamo = "".join(map(chr, [*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
         #: What can start or continue a rewritten cluster; texts without any of these are already in form.
-        self.trigger = _class(single + marks + jamo + "".join(LOOKALIKES))
+        self.trigger = re.compile(f"[{_python(_class(single + marks + jamo + ''.join(LOOKALIKES)))}]")
         self.trie: dict = {}
         for source, target in self.table.items():
             node = self.trie
@@ -160,7 +156,7 @@ class Transducer:
         return self.word(text) if any(c in LOOKALIKES for c in text) else self.cluster(text)
 
     def rewrite(self, text: str) -> str:
-        return self.unit.sub(self._unit, text)
+        return self.unit.sub(self._unit, text) if self.trigger.search(text) else text
 
 
 @functools.cache
@@ -168,9 +164,9 @@ def transducer() -> Transducer:
     return Transducer()
 
 
-def suspects() -> str:
-    """A Java regular expression that holds for every text the transducer could change."""
-    return f"[{_java(transducer().trigger)}]"
+def suspect(text: Column) -> Column:
+    """Whether a text has any character the transducer could change; a test of sizes, with no pattern to run."""
+    return F.octet_length(text) > F.char_length(text)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +192,7 @@ def items(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def changed(texts: DataFrame) -> DataFrame:
     """Rows of ``texts`` (any columns with ``text``) that are not in the consistent form, with ``canonical``."""
-    hit = texts.where(F.col("text").rlike(suspects()))
+    hit = texts.where(suspect(F.col("text")))
     schema = ", ".join(f"`{n}` {t}" for n, t in hit.dtypes) + ", canonical string"
     return hit.mapInArrow(_rewrite, schema)
 
@@ -213,8 +209,8 @@ def odd_items(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 def canonical_items(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """(table_name, instance_id, engine, item, text): every line and block in the one consistent form, once."""
     every = items(lines, blocks)
-    plain = every.where(~F.col("text").rlike(suspects()))
-    odd = every.where(F.col("text").rlike(suspects()))
+    plain = every.where(~suspect(F.col("text")))
+    odd = every.where(suspect(F.col("text")))
     schema = ", ".join(f"`{n}` {t}" for n, t in odd.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
