@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import canon, garbled, neardup, overlap
+from quillframe.llm import canon, garbled, neardup, overlap, truncation
 from quillframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,15 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.canonical_items(table(spark, sf_dir, "ocr_lines"), table(spark, sf_dir, "ocr_blocks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(table(spark, sf_dir, "ocr_blocks"), table(spark, sf_dir, "results"))
+
+
+def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, results = table(spark, sf_dir, "ocr_blocks"), table(spark, sf_dir, "results")
+    return truncation.cut_share(blocks, results, truncation.judged(blocks, results))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "tasks"))
 
@@ -59,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "p2_coverage": p2_coverage,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p4_found": p4_found,
+    "p4_share": p4_share,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p8_found": p8_found,
