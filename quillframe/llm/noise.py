@@ -5,13 +5,12 @@ from __future__ import annotations
 import functools
 import re
 
-#: (as printed, as read) pairs that recognition engines are known to confuse.
+#: (as printed, as read) pairs that recognition engines are known to confuse, in lower case.
 CONFUSIONS = (
     ("e", "c"), ("a", "@"), ("t", "f"), ("s", "5"), ("i", "!"), ("n", "ri"), ("l", "|"), ("l", "1"), ("o", "0"),
     ("d", "cl"), ("m", "rn"), ("u", "ii"), ("ü", "ii"), ("g", "9"), ("h", "b"), ("f", "t"), ("b", "6"), ("é", "6"),
-    ("ö", "6"), ("ó", "6"), ("w", "vv"), ("rn", "m"), ("i", "1"), ("i", "l"), ("l", "i"), ("c", "e"), ("T", "7"),
-    ("S", "5"), ("O", "0"), ("B", "8"), ("I", "l"), ("l", "I"), ("Z", "2"), ("s", "$"), ("q", "9"), ("t", "7"),
-    ("G", "6"), ("A", "4"), ("b", "h"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("E", "3"), ("o", "6"),
+    ("ö", "6"), ("ó", "6"), ("w", "vv"), ("rn", "m"), ("i", "1"), ("i", "l"), ("t", "7"), ("b", "8"), ("z", "2"),
+    ("s", "$"), ("q", "9"), ("i", "|"), ("l", "!"), ("g", "q"), ("o", "6"), ("s", "8"), ("y", "v"),
 )
 
 #: Letters that stand for digits inside a number.
@@ -33,11 +32,41 @@ TOKEN = re.compile(r"\S+")
 def fold(word: str) -> str:
     """One form for a word and all its misreadings: words that scanning may confuse fold to the same string."""
     word = word.lower().translate(_SINGLE)
-    for many, one in (("rn", "m"), ("vv", "w"), ("cl", "d"), ("rl", "n"), ("ll", "u")):
-        word = word.replace(many, one)
+    before = ""
+    while before != word:  # "rri" is an m read in two steps
+        before = word
+        for many, one in (("rn", "m"), ("vv", "w"), ("cl", "d"), ("rl", "n"), ("ll", "u")):
+            word = word.replace(many, one)
     return word
 
 
+_READ: dict[str, list[str]] = {}
+for _printed, _read in CONFUSIONS:
+    _READ.setdefault(_read, []).append(_printed)
+
+
+def confusions(seen: str, meant: str, most: int = 4) -> int | None:
+    """The least number of confusions that turn ``meant`` into ``seen``; None if more than ``most`` or impossible."""
+    best = {(0, 0): 0}
+    queue = [(0, 0)]
+    while queue:
+        i, j = queue.pop()
+        cost = best[i, j]
+        steps = []
+        if i < len(seen) and j < len(meant) and seen[i] == meant[j]:
+            steps.append((i + 1, j + 1, cost))
+        if cost < most:
+            for read in (seen[i : i + 1], seen[i : i + 2]):
+                for printed in _READ.get(read, ()) if read else ():
+                    if meant.startswith(printed, j):
+                        steps.append((i + len(read), j + len(printed), cost + 1))
+        for a, b, c in steps:
+            if c < best.get((a, b), most + 1):
+                best[a, b] = c
+                queue.append((a, b))
+    return best.get((len(seen), len(meant)))
+
+
 def number_like(token: str) -> bool:
     """Digits with separators, possibly with letters that scanning puts in place of digits."""
     core = token.strip(".,;:()[]%€$")

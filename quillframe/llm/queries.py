@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import canon, garbled, neardup, overlap, truncation
+from quillframe.llm import canon, garbled, neardup, overlap, scan_noise, truncation
 from quillframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.noisy_items(table(spark, sf_dir, "ocr_lines"), table(spark, sf_dir, "ocr_blocks"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired_blocks(table(spark, sf_dir, "ocr_lines"), table(spark, sf_dir, "ocr_blocks"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, sf_dir, "tasks"))
 
@@ -63,6 +71,8 @@ def p8_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p2_coverage": p2_coverage,
