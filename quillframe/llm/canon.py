@@ -96,7 +96,7 @@ class Transducer:
         marks = "".join({k[-1] for k in self.table if len(k) > 1})
         jamo = "".join(map(chr, [*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
         #: What can start or continue a rewritten cluster; texts without any of these are already in form.
-        self.trigger = re.compile(f"[{_python(_class(single + marks + jamo + ''.join(LOOKALIKES)))}]")
+        self.trigger = frozenset(single + marks + jamo + "".join(LOOKALIKES))
         self.trie: dict = {}
         for source, target in self.table.items():
             node = self.trie
@@ -156,7 +156,7 @@ class Transducer:
         return self.word(text) if any(c in LOOKALIKES for c in text) else self.cluster(text)
 
     def rewrite(self, text: str) -> str:
-        return self.unit.sub(self._unit, text) if self.trigger.search(text) else text
+        return self.unit.sub(self._unit, text) if not self.trigger.isdisjoint(text) else text
 
 
 @functools.cache
