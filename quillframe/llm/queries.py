@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import canon, garbled, neardup, overlap, scan_noise, truncation
+from quillframe.llm import canon, garbled, mixing, neardup, overlap, packing, scan_noise, truncation
 from quillframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,23 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(table(spark, sf_dir, "tasks"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = table(spark, sf_dir, "containers")
+    return packing.packing_report(packing.packed(table(spark, sf_dir, "documents"), containers), containers)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled_documents(table(spark, sf_dir, "documents"))
 
@@ -82,6 +99,10 @@ QUERIES: dict[str, Query] = {
     "p4_share": p4_share,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_packed": p6_packed,
+    "p6_report": p6_report,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_restored": p8_restored,
     "p8_swaps": p8_swaps,
