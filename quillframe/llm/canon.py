@@ -104,12 +104,11 @@ class Transducer:
                 node = node.setdefault(char, {})
             node[""] = target
         inner = _python(_class(single + marks + jamo))
-        alike = _python(_class("".join(LOOKALIKES)))
-        letter = rf"[^\W_]|[{inner}]"
-        self.unit = re.compile(
-            rf"(?:(?:{letter})*?[{alike}](?:{letter})*)|[ᄀ-ᇿ]+|.[{_python(_class(marks))}]+|[{_python(_class(single))}]+",
-            re.DOTALL,
-        )
+        marked = rf".[{_python(_class(marks))}]+|[{_python(_class(single))}]+"
+        #: Clusters alone, and words as well: a text without look-alikes needs no words.
+        self.clusters = re.compile(rf"[ᄀ-ᇿ]+|{marked}", re.DOTALL)
+        self.words = re.compile(rf"(?:[^\W_]|[{inner}])+|{marked}", re.DOTALL)
+        self.alike = frozenset(LOOKALIKES)
         self.cluster = functools.lru_cache(1 << 16)(self._cluster)
         self.word = functools.lru_cache(1 << 16)(self._word)
 
@@ -151,12 +150,18 @@ class Transducer:
             text = "".join(LOOKALIKES.get(c, c) for c in text)
         return text
 
-    def _unit(self, match: re.Match[str]) -> str:
+    def _any(self, match: re.Match[str]) -> str:
         text = match.group()
-        return self.word(text) if any(c in LOOKALIKES for c in text) else self.cluster(text)
+        if text.isascii():
+            return text
+        return self.word(text) if not self.alike.isdisjoint(text) else self.cluster(text)
 
     def rewrite(self, text: str) -> str:
-        return self.unit.sub(self._unit, text) if not self.trigger.isdisjoint(text) else text
+        if self.trigger.isdisjoint(text):
+            return text
+        if self.alike.isdisjoint(text):
+            return self.clusters.sub(lambda m: self.cluster(m.group()), text)
+        return self.words.sub(self._any, text)
 
 
 @functools.cache
