@@ -9,13 +9,20 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 # The blanks that strict normalisation turns into one space.
 HORIZONTAL_BLANKS = r"[ \t\x{00a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+"
 
+SCRIPT = ArrayType(
+    StructType()
+    .add("operation", StringType()).add("left_start", IntegerType()).add("left_end", IntegerType()).add("left_text", StringType())
+    .add("right_start", IntegerType()).add("right_end", IntegerType()).add("right_text", StringType())
+)
+
 
 def _per_value(form: Callable[[str], str]) -> Callable[[Column], Column]:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(values: pd.Series) -> pd.Series:
         return values.map(form, na_action="ignore")
 
@@ -112,7 +119,7 @@ def difference_category(query: Column, recovered: Column, other: Column) -> Colu
     )
 
 
-@F.pandas_udf("array<struct<operation:string,left_start:int,left_end:int,left_text:string,right_start:int,right_end:int,right_text:string>>")
+@F.pandas_udf(SCRIPT)
 def char_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """The edit script between two texts, equal stretches left out."""
 

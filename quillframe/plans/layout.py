@@ -55,14 +55,14 @@ def watermark_filter(spark, d):
 
 @query(sql("l|w AS (SELECT instance_id, engine, page_number, source_order, unnest(string_split_regex(text, '\\s+')) AS word, generate_subscripts(string_split_regex(text, '\\s+'), 1) AS k, bbox, confidence FROM (SELECT DISTINCT instance_id, engine, page_number, source_order, text, bbox, confidence FROM l WHERE bbox IS NOT NULL AND text IS NOT NULL))",
     """SELECT instance_id, engine, page_number, count(*) AS n_words, CAST(min(bbox.left) AS BIGINT) AS lft, CAST(min(bbox.top) AS BIGINT) AS tp, CAST(max(bbox.left + bbox.width) AS BIGINT) AS rgt,
- CAST(max(bbox.top + bbox.height) AS BIGINT) AS bot, round(sum(confidence), 3) AS confidence FROM w WHERE word <> '' GROUP BY 1, 2, 3"""))
+ CAST(max(bbox.top + bbox.height) AS BIGINT) AS bot, round(sum(confidence), 4) AS confidence FROM w WHERE word <> '' GROUP BY 1, 2, 3"""))
 def line_from_words(spark, d):
     l = inputs.lines(spark, d).where("bbox IS NOT NULL AND text IS NOT NULL").select(*DOC, "page_number", "source_order", "text", "bbox", "confidence").distinct()
     w = l.select(*DOC, "page_number", "bbox", "confidence", F.explode(F.split("text", r"\s+")).alias("word")).where("word != ''")
     b = F.col("bbox")
     return w.groupBy(*DOC, "page_number").agg(
         F.count("*").alias("n_words"), F.min(b["left"]).cast("long").alias("lft"), F.min(b["top"]).cast("long").alias("tp"), F.max(b["left"] + b["width"]).cast("long").alias("rgt"),
-        F.max(b["top"] + b["height"]).cast("long").alias("bot"), F.round(F.sum("confidence"), 3).alias("confidence"),
+        F.max(b["top"] + b["height"]).cast("long").alias("bot"), F.round(F.sum("confidence"), 4).alias("confidence"),
     )
 
 
