@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import collapse_blanks
+from quillframe.operators.grouped import grouped
 
 # Marker forms, footers and watermark texts that layout recognises.
 MARKER = r"(?i)(?<![A-Za-z0-9])(?:[\[<(]\s*)?(b\d+)(?:\s*[\])>])?(?![A-Za-z0-9])(?:\s*[:.])?"
@@ -96,35 +99,54 @@ def rows_in_reading_order(lines: DataFrame, page: list[str]) -> DataFrame:
     at most 24 pixels) and the heights differ by a factor of at most 2.5. The state is sequential, so one page is one
     group; a page is the bound of a group.
     """
-    schema = ", ".join(f"{c} {dict(lines.dtypes)[c]}" for c in page) + ", source_order int, row int, place int"
+    kinds = dict(lines.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in page) + ", source_order int, row int, place int"
+    columns = [*page, "source_order", "left", "top", "height"]
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cluster(boxes: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        """(source_order, row, place) of the (source_order, left, top, height) boxes of one page."""
         rows: list[dict] = []
-        for box in sorted(pdf.itertuples(index=False), key=lambda b: (b.top, b.left)):
+        for order, left, top, height in sorted(boxes, key=lambda b: (b[2], b[1], b[0])):
             best = None
             for row in rows:
-                heights = sorted(row["heights"])
+                near = abs(top - row["top"])
+                if near > 24.0 or (best is not None and near >= best[0]):
+                    continue
+                heights = row["heights"]  # kept in order
                 mid = len(heights) // 2
                 typical = heights[mid] if len(heights) % 2 else (heights[mid - 1] + heights[mid]) / 2
-                near = abs(box.top - row["top"])
-                fits = max(typical, box.height) <= 2.5 * max(min(typical, box.height), 1) and near <= min(max(typical / 2, 2.0), 24.0)
-                if fits and (best is None or near < best[0]):
+                if max(typical, height) <= 2.5 * max(min(typical, height), 1) and near <= min(max(typical / 2, 2.0), 24.0):
                     best = near, row
             if best is None:
-                rows.append({"top": float(box.top), "heights": [box.height], "tops": [box.top], "boxes": [box]})
+                rows.append({"top": float(top), "heights": [height], "total": top, "boxes": [(left, order)]})
             else:
                 row = best[1]
-                row["heights"].append(box.height), row["tops"].append(box.top), row["boxes"].append(box)
-                row["top"] = sum(row["tops"]) / len(row["tops"])
-        out, place = [], 0
+                bisect.insort(row["heights"], height)
+                row["total"] += top
+                row["boxes"].append((left, order))
+                row["top"] = row["total"] / len(row["boxes"])
+        place = 0
         for k, row in enumerate(sorted(rows, key=lambda r: r["top"])):
-            for box in sorted(row["boxes"], key=lambda b: b.left):
-                out.append((*(getattr(box, c) for c in page), box.source_order, k, place))
+            for _, order in sorted(row["boxes"], key=lambda b: b[0]):
+                yield order, k, place
                 place += 1
-        return pd.DataFrame(out, columns=[*page, "source_order", "row", "place"])
 
-    boxes = lines.where("bbox IS NOT NULL").select(*page, "source_order", F.col("bbox.left").alias("left"), F.col("bbox.top").alias("top"), F.col("bbox.height").alias("height"))
-    return boxes.groupBy(*page).applyInPandas(cluster, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = list(zip(*(part.column(c).to_pylist() for c in page)))
+            boxes = list(zip(*(part.column(c).to_pylist() for c in columns[len(page) :])))
+            out, start = [], 0
+            for end in range(1, len(keys) + 1):
+                if end == len(keys) or keys[end] != keys[start]:
+                    out += [(*keys[start], *r) for r in cluster(boxes[start:end])]
+                    start = end
+            types = [part.schema.field(c).type for c in page] + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [*page, "source_order", "row", "place"])
+
+        yield from grouped(batches, page, work)
+
+    flat = lines.where("bbox IS NOT NULL").select(*page, "source_order", F.col("bbox.left").alias("left"), F.col("bbox.top").alias("top"), F.col("bbox.height").alias("height"))
+    return flat.repartition(*page).sortWithinPartitions(*page, "source_order").mapInArrow(run, schema)
 
 
 def lines_from_words(words: DataFrame, line: list[str]) -> DataFrame:
