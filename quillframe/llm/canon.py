@@ -104,7 +104,7 @@ class Transducer:
                 node = node.setdefault(char, {})
             node[""] = target
         inner = _python(_class(single + marks + jamo))
-        marked = rf".[{_python(_class(marks))}]+|[{_python(_class(single))}]+"
+        marked = rf".?[{_python(_class(marks + single))}]+"
         #: Clusters alone, and words as well: a text without look-alikes needs no words.
         self.clusters = re.compile(rf"[ᄀ-ᇿ]+|{marked}", re.DOTALL)
         self.words = re.compile(rf"(?:[^\W_]|[{inner}])+|{marked}", re.DOTALL)
