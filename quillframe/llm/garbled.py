@@ -19,6 +19,7 @@ import functools
 import itertools
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ LABELS = ["none", *[f"{r}>{w}" for r, w in SWAPS], *[f"{r}>{w}x2" for r, w, _ in
 SKETCH = 1 << 20
 ROUNDS = 3
 UNSEEN = 0.02
+#: Sources beyond this many share their swap frequencies with others, by a hash; it bounds what the driver holds.
+CHANNELS = 4_096
 #: Prior share of a swap in a source before any round.
 START = 1e-5
 RUN = re.compile(r"[^\x00-\x7f]+")
@@ -196,26 +199,36 @@ def _alone(text: str, start: int, end: int) -> tuple[str, str] | None:
     return _shape((before.split() or [""])[-1]), _shape((after.split() or [""])[0])
 
 
-def slots_of_signs(texts: DataFrame) -> set[tuple[str, str]]:
-    """Word shapes around lone non-ASCII characters other than the replacement sign, seen around the sign as well."""
+def slots_of_letters(texts: DataFrame) -> DataFrame:
+    """(slot_a, slot_b): word shapes around lone non-ASCII characters other than the replacement sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str, bool]] = set()
+        seen: set[tuple[str, str]] = set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for m in re.finditer(r"(?<!\S)[^\x00-\x7f](?!\S)", text):
-                    if slot := _alone(text, *m.span()):
-                        seen.add((*slot, m.group() == SIGN))
-        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in seen], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))], ["a", "b", "sign"])
+                    if m.group() != SIGN and (slot := _alone(text, *m.span())):
+                        seen.add(slot)
+            if len(seen) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in seen], pa.string()) for i in (0, 1)], ["slot_a", "slot_b"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in seen], pa.string()) for i in (0, 1)], ["slot_a", "slot_b"])
 
-    table = texts.select("text").mapInArrow(run, "a string, b string, sign boolean").groupBy("a", "b").agg(F.max("sign").alias("sign"), F.min("sign").alias("only"))
-    # Only slots in which the sign itself occurs matter; their number does not grow with the texts that are whole.
-    return {(r.a, r.b) for r in table.where("sign AND NOT only").select("a", "b").limit(100_000).collect()}
+    return texts.select("text").mapInArrow(run, "slot_a string, slot_b string").distinct()
 
 
-def scored_runs(documents: DataFrame, model: Bigrams, slots: set[tuple[str, str]]) -> DataFrame:
-    """(doc_id, source, start, stop, kind, swaps, scores): runs that some swap explains, and replacement signs."""
-    schema = "doc_id long, source string, start int, stop int, lost boolean, swaps array<int>, scores array<double>"
+def judged_signs(runs: DataFrame, slots: DataFrame) -> DataFrame:
+    """Scored runs without the lone replacement signs whose slot never holds a letter: those are only named."""
+    lone = runs.where("slot_a IS NOT NULL").join(slots, ["slot_a", "slot_b"], "left_semi")
+    return runs.where("slot_a IS NULL").unionByName(lone).drop("slot_a", "slot_b")
+
+
+def scored_runs(documents: DataFrame, model: Bigrams) -> DataFrame:
+    """(doc_id, source, start, stop, lost, swaps, scores, slot_a, slot_b): runs some swap explains, and replacement signs.
+
+    A sign that stands alone has its slot; whether it is damage is for :func:`judged_signs`.
+    """
+    schema = "doc_id long, source string, start int, stop int, lost boolean, swaps array<int>, scores array<double>, slot_a string, slot_b string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple[str, str, str], tuple | None] = {}
@@ -236,48 +249,54 @@ def scored_runs(documents: DataFrame, model: Bigrams, slots: set[tuple[str, str]
             return out
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(9)]
             for doc_id, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for a, b in _stretches(text):
                     if _quoted(text, a, b):
                         continue
                     piece = text[a:b]
-                    lost = False
-                    found = None
+                    lost, slot, found = False, None, None
                     if SIGN in piece:
                         slot = _alone(text, a, b) if piece == SIGN else None
-                        lost = slot is None or slot in slots
+                        lost = True
                     else:
                         found = weigh(text[a - 1] if a else " ", piece, text[b] if b < len(text) else " ")
                     if lost or found:
-                        for column, value in zip(out, (doc_id, source, a, b, lost, *(found or ([], [])))):
+                        for column, value in zip(out, (doc_id, source, a, b, lost, *(found or ([], [])), *(slot or (None, None)))):
                             column.append(value)
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "source", "start", "stop", "lost", "swaps", "scores"])
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "source", "start", "stop", "lost", "swaps", "scores", "slot_a", "slot_b"])
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, schema)
 
 
-def learned(runs: DataFrame, rounds: int = ROUNDS) -> dict[str, dict[int, float]]:
-    """Log share of every swap in every source, by expectation-maximisation over the scored runs."""
-    shares: dict[str, dict[int, float]] = {}
+def channel(source: str) -> int:
+    return zlib.crc32(source.encode("utf-8", "surrogatepass")) % CHANNELS
+
+
+def learned(runs: DataFrame, rounds: int = ROUNDS) -> dict[int, dict[int, float]]:
+    """Log share of every swap in every source (by channel), by expectation-maximisation over the scored runs."""
+    shares: dict[int, dict[int, float]] = {}
     for _ in range(rounds):
         now = shares
 
         def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple[str, int], float] = {}
+            total: dict[tuple[int, int], float] = {}
             for batch in batches:
                 for source, swaps, scores in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    for swap, weight in zip(swaps, posterior(now.get(source), swaps, scores)):
-                        total[source, swap] = total.get((source, swap), 0.0) + weight
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.float64())], ["source", "swap", "w"])
+                    at = channel(source)
+                    for swap, weight in zip(swaps, posterior(now.get(at), swaps, scores)):
+                        total[at, swap] = total.get((at, swap), 0.0) + weight
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.float64())], ["channel", "swap", "w"])
 
-        rows = runs.where("NOT lost").select("source", "swaps", "scores").mapInArrow(step, "source string, swap int, w double").groupBy("source", "swap").agg(F.sum("w").alias("w")).collect()
+        rows = runs.where("NOT lost").select("source", "swaps", "scores").mapInArrow(step, "channel int, swap int, w double").groupBy("channel", "swap").agg(F.sum("w").alias("w")).collect()
         shares = {}
-        for source in {r.source for r in rows}:
-            own = {r.swap: r.w for r in rows if r.source == source}
+        per: dict[int, dict[int, float]] = {}
+        for r in rows:
+            per.setdefault(r.channel, {})[r.swap] = r.w
+        for at, own in per.items():
             whole = sum(own.values()) + len(LABELS) * START
-            shares[source] = {s: math.log((own.get(s, 0.0) + START) / whole) for s in range(len(LABELS))}
+            shares[at] = {s: math.log((own.get(s, 0.0) + START) / whole) for s in range(len(LABELS))}
     return shares
 
 
@@ -288,7 +307,7 @@ def posterior(share: dict[int, float] | None, swaps: list[int], scores: list[flo
     return [w / sum(weights) for w in weights]
 
 
-def chosen(runs: DataFrame, shares: dict[str, dict[int, float]]) -> DataFrame:
+def chosen(runs: DataFrame, shares: dict[int, dict[int, float]]) -> DataFrame:
     """(doc_id, start, stop, lost, swap) of the runs that are garbled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +317,7 @@ def chosen(runs: DataFrame, shares: dict[str, dict[int, float]]) -> DataFrame:
                 if lost:
                     pick.append(-1)
                 else:
-                    p = posterior(shares.get(source), swaps, scores)
+                    p = posterior(shares.get(channel(source)), swaps, scores)
                     pick.append(swaps[p.index(max(p))])
             swap = pa.array(pick, pa.int32())
             out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "stop", "lost")] + [swap], ["doc_id", "start", "stop", "lost", "swap"])
@@ -345,10 +364,10 @@ def garbled_runs(documents: DataFrame) -> DataFrame:
     pass as language.
     """
     texts = _candidates(documents)
-    slots = slots_of_signs(texts)
-    runs = cut(scored_runs(texts, bigrams(texts), slots))
+    slots = slots_of_letters(texts)
+    runs = cut(judged_signs(scored_runs(texts, bigrams(texts)), slots))
     plain = translated(texts, chosen(runs, learned(runs)), "left")
-    runs = cut(scored_runs(texts, bigrams(plain), slots))
+    runs = cut(judged_signs(scored_runs(texts, bigrams(plain)), slots))
     return chosen(runs, learned(runs))
 
 

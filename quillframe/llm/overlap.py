@@ -119,7 +119,7 @@ def cross_split_pairs(tasks: DataFrame, similarity: float = SIMILARITY, least: i
     flags = [F.max((F.col("side") == s).cast("int")).alias(c) for s, c in (("train", "train"), ("eval", "held"))]
     reps = texts.groupBy("set_id").agg(F.first("tokens").alias("tokens"), *flags)
     counts = setjoin.histogram(reps.where(F.size("tokens") > 1).select(F.explode("tokens").alias("token")), "token")
-    index = setjoin.salted(setjoin.postings(reps, counts, similarity, list_limit, ("train", "held")), list_limit)
+    index = setjoin.salted(*setjoin.postings(reps, counts, similarity, list_limit, ("train", "held")), list_limit)
     runs = _cross_runs(index, similarity)
     # Equal texts are their own run; a pair found from both sides of a mixed text is the same pair.
     same = runs.where("a = b")

@@ -59,8 +59,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(32))).astype(np.int64)
 
 
-def postings(reps: DataFrame, counts: list[int], t: float, list_limit: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Index entries (key, n, pos, set_id, sig, tail, level, *extra); ``tail`` holds the next words of the sequence."""
+def postings(reps: DataFrame, counts: list[int], t: float, list_limit: int, extra: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """The index, and whether some words were split.  Entries are (key, n, pos, set_id, sig, tail, level, *extra); ``tail`` holds the next words."""
     table = np.asarray(counts, np.int64)
     schema = "key long, n int, pos int, set_id long, sig binary, tail binary, level int" + "".join(f", {c} int" for c in extra)
 
@@ -137,11 +137,16 @@ def postings(reps: DataFrame, counts: list[int], t: float, list_limit: int, extr
         lengths[b] = c
     hot = lengths > list_limit
     source = reps.select("set_id", "tokens", *extra)
-    return source.mapInArrow(build(hot if hot.any() else None), schema)
+    return source.mapInArrow(build(hot if hot.any() else None), schema), bool(hot.any())
 
 
-def salted(index: DataFrame, list_limit: int) -> DataFrame:
-    """Add (cell_a, cell_b): lists beyond ``list_limit`` become a triangle of cells; each pair of entries meets once."""
+def salted(index: DataFrame, split: bool, list_limit: int) -> DataFrame:
+    """Add (cell_a, cell_b): lists beyond ``list_limit`` become a triangle of cells; each pair of entries meets once.
+
+    Only lists of word pairs can be that long, so without any (``split``) there is nothing to count.
+    """
+    if not split:
+        return index.withColumn("cell_a", F.lit(0)).withColumn("cell_b", F.lit(0))
     lengths = histogram(index.where("level = 2").select("key"), "key")
     parts = [max(1, math.ceil(c / list_limit)) for c in lengths]
     if max(parts) == 1:
@@ -303,7 +308,7 @@ def verified(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
 def similar_sets(sets: DataFrame, t: float, list_limit: int = LIST_LIMIT) -> DataFrame:
     """All pairs of different sets with similarity of at least ``t``: (a, b, similarity), a < b as set ids."""
     reps, counts = sequences(sets)
-    index = salted(postings(reps, counts, t, list_limit), list_limit)
+    index = salted(*postings(reps, counts, t, list_limit), list_limit)
     return verified(candidate_pairs(index, t), reps, t)
 
 
