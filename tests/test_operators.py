@@ -210,3 +210,52 @@ def test_engine_runs_once_per_partition(spark):
         return run
 
     assert B.engine_lines(spark.range(5), recognise, "id long, text string").count() == 5
+
+
+def test_recovered_queries_are_unique(spark):
+    from quillframe.operators import review
+
+    rows = [("a", "b01", "Notes. The desk recorded\nthe  rnatter. What is it?"), ("b", "b01", "nothing"), ("c", "b01", "the desk recorded the matter. x"), ("c", "b02", "The desk recorded the matter. y"), ("d", "b01", None)]
+    out = review.recovered_queries(spark.createDataFrame(rows, "id string, block_id string, text string"), ["id"], ["the desk recorded the matter."])
+    assert {r.id: (r.status, r.block_id, r.query) for r in out.collect()} == {"a": ("recovered", "b01", "What is it?"), "b": ("no_match", None, None), "c": ("several_matches", None, None), "d": ("no_match", None, None)}
+
+
+def test_labelled_spans_of_tagged_output(spark):
+    from quillframe.operators import review
+
+    text = "<p>b01: a &lt; b</p>\n<|user|><b>B02</b> : c&amp;d b24: no b02: again"
+    out = review.html_blocks(spark.createDataFrame([(1, text)], "k int, t string"), ["k"], "t").orderBy("seq").collect()
+    assert [(r.block_id, r.text) for r in out] == [("b01", "a < b"), ("b02", "c&d b24: no"), ("b02", "again")]
+
+
+@pytest.mark.parametrize(
+    "row,broken",
+    [
+        (("run-00001", "42", ["b01"], True, "high"), set()), (("run", "42", ["b01"], True, "0.7"), {"bad_run_id"}), (("run-00001", "4 2", ["b01"], True, "high"), {"bad_answer"}),
+        (("run-00001", "42", ["b01"], False, "high"), {"answer_without_uniqueness"}), (("run-00001", None, ["b01"], False, "low"), set()), (("run-00001", "1", ["b01", "b01"], True, "2"), {"bad_evidence", "bad_confidence"}),
+        (("run-00001", "1", None, True, None), {"bad_evidence", "bad_confidence"}),
+    ],
+)
+def test_review_rules(spark, row, broken):
+    from quillframe.operators import review
+
+    df = spark.createDataFrame([row], "run_id string, answer string, evidence array<string>, unique_answer boolean, confidence string")
+    assert {r.rule for r in R.violations(df, ["run_id"], review.review_rules()).collect()} == broken
+
+
+@pytest.mark.parametrize(
+    "row,broken",
+    [((["x"], "S2", "aligned"), set()), ((["x"], "S0", "aligned"), {"s0_with_tags"}), (([], "S2", "aligned"), {"tags_without_severity"}), (([], "S2", "semantic_conflict"), {"conflict_below_s4"}), ((["b", "a"], "S9", "odd"), {"unknown_severity", "unknown_alignment", "tags_not_sorted"})],
+)
+def test_audit_rules(spark, row, broken):
+    from quillframe.operators import review
+
+    df = spark.createDataFrame([row], "tags array<string>, severity string, alignment string")
+    assert {r.rule for r in R.violations(df, ["severity"], review.audit_rules()).collect()} == broken
+
+
+def test_command_line(capsys):
+    from quillframe.__main__ import main
+
+    assert main(["list"]) == 0 and "eval_micro_cer" in capsys.readouterr().out
+    assert main(["run", "no_such_query", "x", "y"]) == 2
