@@ -27,8 +27,11 @@ def encoding(vocabulary: str):
 
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens): every document once; a null text has no tokens."""
-    rows = name_free(documents, "doc_id", "source", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    """(doc_id, source, tokens): every document once; a null text has no tokens.
+
+    Texts are measured where they are read, so repeated rows meet as numbers and no text is shuffled.
+    """
+    rows = name_free(documents, "doc_id", "source", "text").where("doc_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
@@ -36,7 +39,9 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
 
-    return rows.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, tokens long")
+    measured = rows.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, tokens long")
+    best = measured.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("m"))
+    return best.select("doc_id", "m.source", "m.tokens")
 
 
 def hash_unit(*columns) -> F.Column:
