@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,26 @@ def get_session(app: str = "quillframe", cores: int | str = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python workers find it on any host."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    with tempfile.NamedTemporaryFile(prefix="quillframe-", suffix=".zip", delete=False) as file:
+        with zipfile.ZipFile(file, "w") as archive:
+            for source in sorted(root.rglob("*.py")):
+                archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(file.name)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a data directory, as stored."""
+    ship(spark)
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
