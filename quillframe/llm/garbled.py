@@ -38,6 +38,8 @@ TWICE = [(r, "utf_8", 2) for r in ("cp1252", "latin_1", "mac_roman", "cp850", "c
 #: Number 0 is no swap; then the single swaps, then the double ones.
 LABELS = ["none", *[f"{r}>{w}" for r, w in SWAPS], *[f"{r}>{w}x2" for r, w, _ in TWICE]]
 
+_OF_PAGE = {page: [(i, w) for i, (r, w) in enumerate(SWAPS, 1) if r == page] for page in READ_WITH}
+
 SKETCH = 1 << 20
 ROUNDS = 3
 UNSEEN = 0.02
@@ -95,9 +97,20 @@ def _unswap(text: str, read: str, written: str) -> str | None:
 def readings(run: str) -> tuple[tuple[int, str], ...]:
     """(swap number, text meant) of every swap that could have made ``run``."""
     out = []
-    for i, (r, w) in enumerate(SWAPS, 1):
-        if (text := _unswap(run, r, w)) is not None:
-            out.append((i, text))
+    for page in READ_WITH:
+        data = _bytes(run, page)
+        if data is None or data.isascii():
+            continue
+        for number, written in _OF_PAGE[page]:
+            try:
+                text = data.decode(written)
+            except UnicodeDecodeError:
+                continue
+            if text != run:
+                out.append((number, text))
+    out.sort()
+    if not out:
+        return ()
     for i, (r, w, _) in enumerate(TWICE, 1 + len(SWAPS)):
         once = _unswap(run, r, w)
         # The second reading may have been with a page of the same family.
@@ -115,6 +128,12 @@ def _slots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x >> np.uint64(44)).astype(np.int64), ((x >> np.uint64(20)) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def _slot(a: int, b: int) -> tuple[int, int]:
+    """:func:`_slots` of one bigram."""
+    x = (((a << 21) | b) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    return x >> 44, (x >> 20) & (SKETCH - 1)
+
+
 class Bigrams:
     """Character bigrams of the corpus as a count-min sketch: two rows of ``SKETCH`` counters and one for letters."""
 
@@ -125,15 +144,19 @@ class Bigrams:
     def _memo(self) -> dict:
         return {}
 
+    @functools.cached_property
+    def _cells(self) -> tuple[memoryview, memoryview]:
+        return memoryview(np.ascontiguousarray(self.rows[0])), memoryview(np.ascontiguousarray(self.rows[1]))
+
     def log(self, a: str, b: str) -> float:
         if (hit := self._memo.get((a, b))) is not None:
             return hit
-        one = np.array([ord(a)]), np.array([ord(b)])
-        i, j = _slots(*one)
-        both = min(self.rows[0][i[0]], self.rows[1][j[0]])
-        i, j = _slots(one[0], np.array([0x1FFFFF]))
-        first = min(self.rows[0][i[0]], self.rows[1][j[0]])
-        value = math.log((both + UNSEEN) / (first + UNSEEN * 200))
+        first, second = self._cells
+        i, j = _slot(ord(a), ord(b))
+        both = min(first[i], second[j])
+        i, j = _slot(ord(a), 0x1FFFFF)
+        alone = min(first[i], second[j])
+        value = math.log((both + UNSEEN) / (alone + UNSEEN * 200))
         if len(self._memo) < 1 << 20:
             self._memo[(a, b)] = value
         return value
@@ -142,7 +165,13 @@ class Bigrams:
         return sum(self.log(a, b) for a, b in itertools.pairwise(text))
 
     def __getstate__(self):
-        return {"rows": self.rows}
+        at = np.nonzero(self.rows.ravel())[0].astype(np.int32)
+        return {"at": at, "n": self.rows.ravel()[at]}
+
+    def __setstate__(self, state) -> None:
+        self.rows = np.zeros(2 * SKETCH, np.int64)
+        self.rows[state["at"]] = state["n"]
+        self.rows = self.rows.reshape(2, SKETCH)
 
 
 def bigrams(texts: DataFrame) -> Bigrams:
@@ -151,14 +180,15 @@ def bigrams(texts: DataFrame) -> Bigrams:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.zeros((2, SKETCH), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text.isascii():
-                    continue
-                code = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-                for a, b in ((code[:-1], code[1:]), (code[:-1], np.full(len(code) - 1, 0x1FFFFF, np.uint32))):
-                    for row, at in zip(rows, _slots(a, b)):
-                        where, n = np.unique(at, return_counts=True)
-                        row[where] += n
+            # One text a line, with a blank on either side; a batch is counted as a whole.
+            whole = "".join(f" {text} \x00" for text in batch.column(0).to_pylist() if not text.isascii())
+            code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+            if len(code) < 2:
+                continue
+            for a, b in ((code[:-1], code[1:]), (code[:-1], np.full(len(code) - 1, 0x1FFFFF, np.uint32))):
+                for row, at in zip(rows, _slots(a, b)):
+                    where, n = np.unique(at, return_counts=True)
+                    row[where] += n
         for r, row in enumerate(rows):
             at = np.nonzero(row)[0]
             yield pa.RecordBatch.from_arrays([pa.array(at + r * SKETCH), pa.array(row[at])], ["slot", "n"])
