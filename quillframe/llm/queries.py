@@ -108,4 +108,25 @@ QUERIES: dict[str, Query] = {
     "p8_swaps": p8_swaps,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"""
+t AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT instance_id, user_query FROM tasks WHERE instance_id IS NOT NULL AND user_query IS NOT NULL)),
+w AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(user_query), '[\p{L}\p{N}]+')) AS w FROM t),
+n AS (SELECT r, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 12),
+k AS (SELECT w.r, w.w, n.n FROM w JOIN n USING (r)),
+j AS (SELECT a.r AS x, b.r AS y, count(*) AS shared, any_value(a.n) AS nx, any_value(b.n) AS ny FROM k a JOIN k b ON a.w = b.w AND a.r < b.r GROUP BY 1, 2),
+p AS (SELECT DISTINCT least(ta.instance_id, tb.instance_id) AS instance_id_a, greatest(ta.instance_id, tb.instance_id) AS instance_id_b
+ FROM j JOIN t ta ON ta.r = x JOIN t tb ON tb.r = y WHERE shared >= 0.75 * (nx + ny - shared) - 1e-9 AND ta.instance_id <> tb.instance_id)"""
+
+_SIDES = r"""
+s AS (SELECT DISTINCT instance_id, document_pdf, CASE WHEN f IN ('train') THEN 'train' WHEN f IN ('val', 'validation', 'test') THEN 'eval' END AS side FROM
+ (SELECT instance_id, document_pdf, lower(coalesce(split, list_filter(string_split(replace(document_pdf, '\', '/'), '/'), lambda x: x NOT IN ('', '.'))[1])) AS f FROM tasks)),
+f AS (SELECT DISTINCT instance_id, side, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(string_split(replace(url_decode(document_pdf), '\', '/'), '/')[-1]),
+ '(\.pdf)+$', ''), '([ _-]*\([0-9]+\)|[ _-]+copy)+$', ''), '(\.pdf)+$', ''), '[^a-z0-9]+', '-', 'g'), '-') AS file FROM s WHERE document_pdf IS NOT NULL)"""
+
+#: Only where SQL over all pairs of a small table is affordable; the other queries are tested against brute force.
+SQL: dict[str, str] = {
+    "p5_found": f"WITH {_WORDS} SELECT * FROM p",
+    "p2_found": f"""WITH {_WORDS}, {_SIDES}
+ SELECT DISTINCT instance_id_a, instance_id_b FROM p JOIN s a ON a.instance_id = instance_id_a JOIN s b ON b.instance_id = instance_id_b WHERE a.side <> b.side
+ UNION SELECT least(a.instance_id, b.instance_id), greatest(a.instance_id, b.instance_id) FROM f a JOIN f b ON a.file = b.file AND a.side = 'train' AND b.side = 'eval' WHERE a.instance_id <> b.instance_id""",
+}
