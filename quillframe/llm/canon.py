@@ -20,16 +20,14 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import name_free
 
-#: Letters of other scripts and the Latin letters they look like.
+#: Letters of other scripts and the Latin letters they look like: Cyrillic capitals and small letters, then Greek ones.
 LOOKALIKES = dict(
     zip(
-        "АВЕЅЗІЈКМНОРСТУХаеѕіјорсухһԁԛԝѵΑΒΕΖΗΙΚΜΝΟΡΤΥΧοντϲΥ",
-        "ABES3IJKMHOPCTYXaesijopcyxhdqwvABEZHIKMNOPTYXovtcY",
+        "АВЕЅІЈКМНОРСТУХ" "аеѕіјорсухһԁԛԝѵ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ονϲ",
+        "ABESIJKMHOPCTYX" "aesijopcyxhdqwv" "ABEZHIKMNOPTYX" "ovc",
         strict=True,
     )
 )
-for _unsure in "Зτ":  # a Cyrillic Ze is read as a digit and a Greek tau as itself
-    LOOKALIKES.pop(_unsure)
 
 _VISIBLE_FORMAT = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD, *range(0xFFF9, 0xFFFC)}
 _INVISIBLE_OTHER = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x180F), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
