@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NUL = F.char if hasattr(F, "char") else F.chr
-
 
 def text_sha(*parts: Column | str) -> Column:
     """SHA-256 of the parts joined by NUL characters."""

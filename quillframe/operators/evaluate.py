@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from quillframe.functions import text as T
 from quillframe.functions.quantity import common_items, prf
 
-SIDE = "id string, block_id string, text string"
-
 
 def ordered_ids(blocks: DataFrame, key: list[str], order: str, name: str) -> DataFrame:
     """Block ids of every document as an ordered array."""
