@@ -4,8 +4,9 @@ Records are sets of words.  One fixed total order of the words (rarest first, by
 every set a sequence; two sets with Jaccard similarity of at least ``t`` share a word among the first
 ``n - ceil(t * n) + 1`` words of both.  Those words are the keys of an inverted index.  A key whose list is longer than
 ``list_limit`` is replaced by pairs (word, later word): two similar sets share at least two words among one more word
-of the prefix, so nothing is lost, and hot words split into many short lists.  Lists that are still long are salted
-into a triangle of sub-lists.  Within a list, entries lie in blocks ordered by set size and position; a pair of blocks
+of the prefix, so nothing is lost, and hot words split into many short lists.  Sets so small that one common word can be
+enough (``t * n <= 1``) keep the single word as a key besides.  Lists that are still long are salted into a triangle of
+sub-lists.  Within a list, entries lie in blocks ordered by set size and position; a pair of blocks
 whose size range or best possible overlap cannot reach the threshold is skipped as a whole.  What is left is compared
 by 512-bit signatures: the bits that differ never outnumber the words that differ.  Entries whose signature is close
 to a block leader's take their candidates from the leader's answers by the triangle inequality.
@@ -86,13 +87,14 @@ def postings(reps: DataFrame, counts: list[int], t: float, list_limit: int, extr
                     sig = np.packbits(bits).tobytes()
                     keys, pos, level, tail = [], [], [], []
                     heat = hot[np.mod(seq[:p], SKETCH_BUCKETS)] if hot is not None else np.zeros(p, bool)
+                    alone = t * n <= 1 + 1e-9  # such a set may share one word only with a set as small
                     for j in range(min(p, n)):
-                        if not heat[j]:
+                        if not heat[j] or alone:
                             keys.append(seq[j : j + 1])
                             pos.append(np.array([j]))
-                            level.append(np.array([1]))
+                            level.append(np.array([2 if heat[j] else 1]))
                             tail.append(seq[j + 1 : j + 1 + TAIL].tobytes())
-                        else:
+                        if heat[j]:
                             later = seq[j + 1 : min(n, p + 1)]
                             keys.append(_mix(np.full(len(later), seq[j]), later))
                             pos.append(np.full(len(later), j))
@@ -143,7 +145,7 @@ def postings(reps: DataFrame, counts: list[int], t: float, list_limit: int, extr
 def salted(index: DataFrame, split: bool, list_limit: int) -> DataFrame:
     """Add (cell_a, cell_b): lists beyond ``list_limit`` become a triangle of cells; each pair of entries meets once.
 
-    Only lists of word pairs can be that long, so without any (``split``) there is nothing to count.
+    Only lists of word pairs and of hot words of small sets can be that long, so without any (``split``) there is nothing to count.
     """
     if not split:
         return index.withColumn("cell_a", F.lit(0)).withColumn("cell_b", F.lit(0))

@@ -102,6 +102,30 @@ def test_cross_split_pairs_match_brute_force(spark, limit):
     assert pairs(overlap.cross_split_pairs(tasks(spark, rows), list_limit=limit)) == want
 
 
+def test_files_in_the_bucket_of_a_hot_word_keep_their_pairs(spark):
+    queries = made(7, 120)
+    held = [F.pmod(F.xxhash64(F.lit(f"w{i}")), F.lit(setjoin.SKETCH_BUCKETS)) for i in range(60)]
+    named = spark.range(40_000).select(F.concat(F.lit("doc-"), "id").alias("f"))
+    clash = [r.f for r in named.where(F.pmod(F.xxhash64(F.concat(F.lit("file:"), "f")), F.lit(setjoin.SKETCH_BUCKETS)).isin(held)).limit(5).collect()]
+    assert len(clash) == 5
+    rows = queries + [(f"{s[0]}{i}-{k}", None, f"{s}/{f}.pdf", s) for i, f in enumerate(clash) for s in ("train", "val") for k in range(4)]
+    side = {r[0]: "train" if r[3] == "train" else "eval" for r in rows}
+    want = {p for p in brute(rows) if side[p[0]] != side[p[1]]}
+    want |= {(f"t{i}-{k}", f"v{i}-{m}") for i in range(5) for k in range(4) for m in range(4)}
+    assert pairs(overlap.cross_split_pairs(tasks(spark, rows), list_limit=3)) == want
+
+
+@pytest.mark.parametrize("t", [0.75, 0.5, 0.34])
+def test_small_sets_match_brute_force_when_their_words_are_hot(spark, t):
+    rng = random.Random(11)
+    kept = {frozenset(rng.sample("abcdefghi", rng.choice([1, 1, 2, 2, 3, 4, 5]))) for _ in range(120)}
+    named = {" ".join(sorted(w)): w for w in kept}
+    sets = setjoin.distinct_sets(spark.createDataFrame([(k, sorted(w)) for k, w in named.items()], "id string, words array<string>"), "id", "words", 1)
+    name = {r.set_id: r.id for r in sets.collect()}
+    found = {tuple(sorted((name[r.a], name[r.b]))) for r in setjoin.similar_sets(sets, t, 3).collect()}
+    assert found == {(a, b) for a, x in named.items() for b, y in named.items() if a < b and len(x & y) / len(x | y) >= t - 1e-12}
+
+
 @pytest.mark.parametrize(
     "path,name",
     [
