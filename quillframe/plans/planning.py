@@ -111,24 +111,27 @@ def review_shard_expand(spark, d):
 
 @query()
 def file_inventory(spark, d):
-    """Names, sizes and hashes of the stored tables' files."""
+    """Names, sizes and hashes of the stored tables' files: every Parquet file below the data directory."""
+    from quillframe.session import ship
     from quillframe.sources.jsonl import hashed_files
 
-    return hashed_files(spark, f"{d}/mix_targets.parquet", "*.parquet").unionAll(hashed_files(spark, f"{d}/containers.parquet", "*.parquet"))
+    ship(spark)
+    return hashed_files(spark, d, "*.parquet")
 
 
 @query()
 def stream_ingest(spark, d):
-    """Records landed twice and ingested as a stream: one row per key, of the latest attempt."""
+    """All records landed twice and ingested as a stream: one row per key, of the latest attempt."""
     from quillframe.session import checkpoint_folder
     from quillframe.streaming import ingest
 
     base = tempfile.mkdtemp(prefix="ingest-", dir=checkpoint_folder(spark).removeprefix("file:"))
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    records = table(spark, d, "ocr_records")
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     for attempt in (1, 2):
-        rows = nations.where(F.col("k") % 2 == 0) if attempt == 2 else nations
-        rows.withColumn("attempt", F.lit(attempt)).write.mode("append").json(f"{base}/landing")
-        ingest.ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/offsets", "k int, name string, attempt int", "k", "attempt")
+        rows = records.withColumn("attempt", F.lit(attempt))
+        rows.write.mode("append").options(timestampFormat=f"{micros}XXX", timestampNTZFormat=micros).json(f"{base}/landing")
+        ingest.ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/offsets", rows.schema, ["instance_id", "engine"], ["attempt", "received_at", "captured_at"])
     return ingest.current(spark, f"{base}/table")
 
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a file read at a time.
+PIECE = 1 << 20
+
 
 def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(file, line_number, line, ended): every line of every file; ``ended`` is false for a last line without a break."""
@@ -37,9 +46,31 @@ def lenient(lines: DataFrame, schema: str) -> DataFrame:
 
 
 def hashed_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of every file below ``path``."""
+    """(file, bytes, sha256) of every file below ``path``; ``file`` is its path from there.
+
+    Only names and sizes are listed as rows; the files are read in the workers in pieces of ``PIECE`` bytes, so that one
+    of any size can be hashed.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sums = [], []
+            for name in batch.column("path").to_pylist():
+                system, inner = FileSystem.from_uri(re.sub("^file:/+", "/", name))
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner) as stream:
+                    while piece := stream.read(PIECE):
+                        digest.update(piece)
+                names.append(name.rpartition("/")[2] if name == base else name.removeprefix(base + "/"))
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column("bytes"), pa.array(sums, pa.string())], ["file", "bytes", "sha256"])
+
+    # The list is small and would be one partition; dealt out, the files are hashed side by side.
+    listed = files.select("path", F.col("length").alias("bytes")).repartition(spark.sparkContext.defaultParallelism, "path")
+    return listed.mapInArrow(run, "file string, bytes long, sha256 string")
 
 
 def png_sizes(spark: SparkSession, path: str) -> DataFrame:

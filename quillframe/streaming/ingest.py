@@ -6,21 +6,24 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str, key: str, attempt: str) -> None:
+def ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str | StructType, key: str | list[str], attempt: str | list[str]) -> None:
     """Bring everything new in ``landing`` into ``table``: one row per key, the one of the latest attempt.
 
+    Key and attempt may have several columns; of the attempt's, the first counts most.
     The stream's checkpoint remembers which files are done, so a second call reads new files only. Each batch is merged
     with the stored rows into a new version of the table, and only then is that version named the current one.
     """
+    keys, attempts = ([c] if isinstance(c, str) else list(c) for c in (key, attempt))
     stream = spark.readStream.schema(schema).json(landing)
 
     def merge(batch: DataFrame, number: int) -> None:
         now = current(spark, table)
         both = batch if now is None else now.unionByName(batch)
-        rest = [c for c in both.columns if c != key]
-        last = both.groupBy(key).agg(F.max_by(F.struct(*rest), attempt).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+        rest = [c for c in both.columns if c not in keys]
+        last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*attempts)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
         version = f"{table}/version={number:08d}"
         last.write.mode("overwrite").parquet(version)
         Path(table, "CURRENT.tmp").write_text(f"version={number:08d}")

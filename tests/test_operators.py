@@ -1,6 +1,8 @@
 """Layout, rules, plans, screens, sources, sinks and ingestion on small inputs."""
 
+import hashlib
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from quillframe.operators import evaluate as E
 from quillframe.operators import plan as P
 from quillframe.operators import rules as R
 from quillframe.operators import screen as S
+from quillframe.plans.catalogue import QUERIES
 from quillframe.sources import engines, jsonl, sinks
 from quillframe.streaming import ingest
 
@@ -197,6 +200,23 @@ def test_ingest_resumes_and_keeps_the_last_attempt(spark, tmp_path):
     assert {r.k: r.v for r in ingest.current(spark, args[1]).collect()} == {1: "a", 2: "c"}
 
 
+def test_every_stored_file_is_in_the_inventory(spark, sf, tmp_path):
+    found = {r.file: (r.bytes, r.sha256) for r in QUERIES["file_inventory"](spark, sf).collect()}
+    assert found == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(sf).glob("*.parquet")}
+    spark.range(20).repartition(2).write.parquet(f"{tmp_path}/a b.parquet")
+    spark.range(30).repartition(2).write.parquet(f"{tmp_path}/c.parquet")
+    found = {r.file: r.sha256 for r in QUERIES["file_inventory"](spark, str(tmp_path)).collect()}
+    assert found == {str(p.relative_to(tmp_path)): hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.rglob("part-*.parquet")}
+    assert len(found) == 4
+
+
+def test_all_records_are_ingested_unchanged(spark, sf):
+    names = ["instance_id", "engine"]
+    plain = lambda df: sorted((r.asDict(recursive=True) for r in df.collect()), key=lambda r: [r[n] for n in names])
+    stored = spark.read.parquet(f"{sf}/ocr_records.parquet").dropDuplicates(names)
+    assert plain(QUERIES["stream_ingest"](spark, sf)) == [r | {"attempt": 2} for r in plain(stored)]
+
+
 def test_engine_runs_once_per_partition(spark):
     def recognise():
         import pandas as pd
