@@ -197,7 +197,8 @@ def compare_list(n: np.ndarray, pos: np.ndarray, sig: np.ndarray, t: float) -> I
             rows = np.arange(len(n_x))
             if derive:
                 answers = np.bitwise_count(sig_y ^ sig_x[leader]).sum(1)
-                slack = near[followers].max() + _most(n_x.max(), n_y.max(), t)
+                # The largest difference allowed does not grow evenly with the sizes, so every pair of sizes counts.
+                slack = near[followers].max() + _most(np.unique(n_x[followers])[:, None], np.unique(n_y)[None, :], t).max()
                 columns = np.nonzero(answers <= slack)[0]
                 yield from _block(followers, columns, n_x, n_y, left_x, left[y], sig_x, sig_y, a, b, order, t)
                 rows = np.setdiff1d(rows, followers)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,21 @@ def test_similar_sets_match_brute_force_at_every_list_limit(spark, limit):
     assert pairs(neardup.members_to_pairs(links, sets.select("id", "set_id").distinct())) == brute(rows)
 
 
+def listed(sets):
+    """Sizes, positions and signatures of a list of sets of bit numbers."""
+    bits = np.zeros((len(sets), setjoin.SIGNATURE_BITS), np.uint8)
+    for i, s in enumerate(sets):
+        bits[i, sorted(s)] = 1
+    return np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64), np.packbits(bits, axis=1).view(np.uint64)
+
+
+def test_derived_answers_keep_pairs_at_the_bound_of_a_smaller_size():
+    leader, other = set(range(12)), set(range(11, 23))
+    last = set(range(12, 25))  # 3 words from ``other`` (sizes 12 and 13), 25 from the leader
+    found = {tuple(sorted(p)) for i, j in setjoin.compare_list(*listed([leader] * 12 + [other, last]), 0.75) for p in zip(i.tolist(), j.tolist())}
+    assert len(other & last) / len(other | last) >= 0.75 and (12, 13) in found
+
+
 def test_similar_pairs_on_the_stored_table(spark, sf):
     rows = [(r.instance_id, r.user_query) for r in table(spark, sf, "tasks").select("instance_id", "user_query").collect()]
     assert pairs(neardup.similar_pairs(table(spark, sf, "tasks"))) == brute(rows)
