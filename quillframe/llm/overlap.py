@@ -1,15 +1,13 @@
 """Problem 2: the same or nearly the same records across splits.
 
-Method: suffix arrays over partitioned, concatenated texts.  A text is a sequence of word hashes.  All suffixes of all
-texts of one kind are distributed by their first words and sorted within the partition; neighbours with a common prefix
-form a run, and runs that hold suffixes of both sides reveal what the splits share.
-
-* ``shared_spans``: suffixes of the queries as written; a run of at least ``span`` common words is a shared span, and
-  the spans of each evaluation record are merged into its coverage.
-* ``cross_split_pairs``: suffixes of the queries in canonical order (distinct words, rarest first), in which reordering
-  and repetition have disappeared.  Similar word sets always share a suffix start among their first words (see
-  :mod:`quillframe.llm.setjoin`), so the runs hold every pair with the wanted similarity; the pairs of a run are then
-  checked exactly.  File names are texts of one word, their canonical form.
+Method: joins on keys of fixed length, in place of suffix arrays.
+
+* ``shared_spans``: a semi-join on hashes of all windows of ``span`` words of the queries as written; shared windows of
+  an evaluation record are merged into its coverage.
+* ``cross_split_pairs``: a prefix-filter join (see :mod:`quillframe.llm.setjoin`) over the distinct words of a query,
+  rarest first, in which reordering and repetition have disappeared. Similar word sets always share one of their first
+  words, so the lists of the index hold every pair with the wanted similarity; the pairs of a list are then checked
+  exactly. File names are sets of one word.
 """
 
 from __future__ import annotations
@@ -67,14 +65,14 @@ def _sided(tasks: DataFrame) -> DataFrame:
 
 
 def _cross_runs(index: DataFrame, t: float) -> DataFrame:
-    """(a, b): an evaluation text and a train text that lie in one run of the suffix array and may be similar."""
+    """(a, b): an evaluation text and a train text that lie in one list of the index and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
             key, cell_a, cell_b, mine = (part.column(c).to_numpy() for c in ("key", "cell_a", "cell_b", "mine"))
             ids, n, pos, train, held = (part.column(c).to_numpy() for c in ("set_id", "n", "pos", "train", "held"))
             sig = setjoin.signature_matrix(part.column("sig"))
-            edge = setjoin.runs([key, cell_a, cell_b])  # where the common prefix of neighbours falls to nothing
+            edge = setjoin.runs([key, cell_a, cell_b])
             found = []
             for r in np.nonzero(np.diff(edge) > 0)[0]:
                 at = np.arange(edge[r], edge[r + 1])
@@ -110,8 +108,8 @@ def cross_split_pairs(tasks: DataFrame, similarity: float = SIMILARITY, least: i
     queries = rows.where("user_query IS NOT NULL").select("instance_id", "side", words(F.col("user_query")).alias("words"))
     queries = queries.where(F.size("words") >= least).select("instance_id", "side", F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
     queries = queries.withColumn("set_id", F.xxhash64(F.array_sort("tokens")))
-    # A file name is a text of one word, so its whole text is one suffix and equal names are neighbours; their ids
-    # cannot meet those of queries, since every list holds one kind.
+    # A file name is a set of one word, so equal names are one entry of the index; their ids cannot meet those of
+    # queries, since the word is marked as a file.
     files = rows.select("instance_id", "side", canonical_file(F.col("document_pdf")).alias("file")).where("file IS NOT NULL")
     files = files.select("instance_id", "side", F.array(F.xxhash64(F.concat(F.lit("file:"), F.col("file")))).alias("tokens"))
     files = files.withColumn("set_id", F.xxhash64(F.array_sort("tokens")))
@@ -150,10 +148,9 @@ def overlap_report(tasks: DataFrame, pairs: DataFrame) -> DataFrame:
 def shared_spans(tasks: DataFrame, span: int = SPAN) -> DataFrame:
     """Per evaluation task: (instance_id, n_words, n_covered, coverage), words lying in spans shared with train.
 
-    A span is ``span`` or more consecutive words of the query as written. Every suffix of every distinct query is placed
-    by its first ``span`` words; where a suffix of an evaluation query and one of a train query become neighbours, the
-    common prefix covers the evaluation query from there on. Longer spans are the union of such starts, so only the
-    first ``span`` words of a suffix travel. Null or shorter queries have coverage 0.
+    A span is ``span`` or more consecutive words of the query as written. Windows of ``span`` words of evaluation queries
+    are kept where a train query has the same window. Longer spans are the union of their windows, so only a hash of each
+    window travels. Null or shorter queries have coverage 0.
     """
     rows = _sided(tasks).select("instance_id", "side", F.coalesce("user_query", F.lit("")).alias("q")).distinct()
     token = F.transform(F.regexp_extract_all(F.lower("q"), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: F.xxhash64(w))
