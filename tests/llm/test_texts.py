@@ -209,3 +209,10 @@ def test_scan_noise_of_empty_tables(spark):
     lines, blocks, _ = _scanned(spark)
     assert scan_noise.noisy_items(lines.where("1 = 0"), blocks.where("1 = 0")).count() == 0
     assert scan_noise.repaired_blocks(lines.where("1 = 0"), blocks.where("1 = 0")).count() == 0
+
+
+def test_layout_of_a_wide_row_sees_its_end():
+    wide = [x for k in range(9) for x in ("|", f"c{k}")] + ["|"]
+    assert truncation.layout(wide) == truncation.layout([*wide[:-2], "other", "|"]) != ""
+    assert len({truncation.layout(wide[:n]) for n in range(12, len(wide) + 1)}) == len(wide) - 11
+    assert truncation.layout(["word"] * 20) == ""
