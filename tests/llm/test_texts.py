@@ -216,3 +216,20 @@ def test_layout_of_a_wide_row_sees_its_end():
     assert truncation.layout(wide) == truncation.layout([*wide[:-2], "other", "|"]) != ""
     assert len({truncation.layout(wide[:n]) for n in range(12, len(wide) + 1)}) == len(wide) - 11
     assert truncation.layout(["word"] * 20) == ""
+
+
+def test_lengths_tell_cut_headings_and_abbreviations(spark):
+    rng = random.Random(4)
+    names = [f"{a} {b}" for a in ("stores", "goods", "timber", "copper") for b in ("north", "harbour", "east", "riverside")]
+    whole = [f"Report {x} {y} station" for x in names for y in names]
+    kept = [(f"w{i}", "e", "b01", t) for i, t in enumerate(whole)]
+    # Running text shows the limit of 70 characters; headings cut there end in words that end headings.
+    shown = [(f"r{i}", "e", "b01", f"It was {i}. Then {' '.join(rng.choice(names) for _ in range(9))}"[:70].rstrip().ljust(70, "s")) for i in range(30)]
+    cuts = [(f"c{i}", "e", "b01", f"Report {'x' * (53 - i)} {'y' * (i + 1)} station") for i in range(9)]
+    stop = [("s0", "e", "b01", "x" * 62 + " approx."), ("s1", "f", "b01", "x" * 62 + " approx."), ("s2", "e", "b01", "x" * 61 + " station.")]
+    known = [(f"k{i}", "g", "b01", f"It took approximately {i} hours of work at the {rng.choice(names)} station.") for i in range(10)]
+    assert {len(r[3]) for r in shown + cuts + stop[::2]} == {70}
+    rows = kept + shown + cuts + stop + known
+    found = {r.instance_id for r in truncation.judged(spark.createDataFrame(rows, "instance_id string, engine string, block_id string, text string"), _truncation_tables(spark)[1]).collect()}
+    assert {r[0] for r in shown + cuts} | {"s0"} <= found
+    assert not found & ({"s1", "s2"} | {r[0] for r in kept + known})
