@@ -134,6 +134,10 @@ def _slot(a: int, b: int) -> tuple[int, int]:
     return x >> 44, (x >> 20) & (SKETCH - 1)
 
 
+#: A character that only documents to be scored have; ASCII documents are counted but cannot be garbled.
+_OTHER = r"[^\x00-\x7F]"
+
+
 class Bigrams:
     """Character bigrams of the corpus as a count-min sketch: two rows of ``SKETCH`` counters and one for letters."""
 
@@ -174,14 +178,36 @@ class Bigrams:
         self.rows = self.rows.reshape(2, SKETCH)
 
 
-def bigrams(texts: DataFrame) -> Bigrams:
-    """Bigram counts of all texts; what reaches the driver is bounded by the sketch."""
+def plain_bigrams(documents: DataFrame) -> np.ndarray:
+    """The sketch of the bigrams of all ASCII documents, which no pass changes; counted in a table of 128 x 128."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 14, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                code = np.frombuffer(f" {text} \x00".encode("ascii"), np.uint8).astype(np.int32)
+                total += np.bincount((code[:-1] << 7) | code[1:], minlength=1 << 14)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+
+    texts = _rows(documents).where(~F.col("text").rlike(_OTHER)).distinct().select("text")
+    counted = texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair, n = (counted.column(c).to_numpy() for c in ("pair", "n"))
+    rows = np.zeros((2, SKETCH), np.int64)
+    for a, b in ((pair >> 7, pair & 127), (pair >> 7, np.full(len(pair), 0x1FFFFF))):
+        for row, at in zip(rows, _slots(a, b)):
+            np.add.at(row, at, n)
+    return rows
+
+
+def bigrams(texts: DataFrame, plain: np.ndarray) -> Bigrams:
+    """Bigram counts of ``texts`` and of those counted in ``plain``; what reaches the driver is bounded by the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.zeros((2, SKETCH), np.int64)
         for batch in batches:
             # One text a line, with a blank on either side; a batch is counted as a whole.
-            whole = "".join(f" {text} \x00" for text in batch.column(0).to_pylist() if not text.isascii())
+            whole = "".join(f" {text} \x00" for text in batch.column(0).to_pylist())
             code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
             if len(code) < 2:
                 continue
@@ -196,7 +222,7 @@ def bigrams(texts: DataFrame) -> Bigrams:
     counted = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     rows = np.zeros(2 * SKETCH, np.int64)
     rows[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    return Bigrams(rows.reshape(2, SKETCH))
+    return Bigrams(rows.reshape(2, SKETCH) + plain)
 
 
 def _quoted(text: str, start: int, end: int) -> bool:
@@ -356,9 +382,13 @@ def chosen(runs: DataFrame, shares: dict[int, dict[int, float]]) -> DataFrame:
     return runs.mapInArrow(run, "doc_id long, start int, stop int, lost boolean, swap int")
 
 
-def _candidates(documents: DataFrame) -> DataFrame:
+def _rows(documents: DataFrame) -> DataFrame:
     rows = name_free(documents, "doc_id", "source", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").distinct()
+    return rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+
+
+def _candidates(documents: DataFrame) -> DataFrame:
+    return _rows(documents).where(F.col("text").rlike(_OTHER)).distinct()
 
 
 def translated(texts: DataFrame, runs: DataFrame, how: str) -> DataFrame:
@@ -394,10 +424,10 @@ def garbled_runs(documents: DataFrame) -> DataFrame:
     pass as language.
     """
     texts = _candidates(documents)
-    slots = slots_of_letters(texts)
-    runs = cut(judged_signs(scored_runs(texts, bigrams(texts)), slots))
+    slots, ascii_ = slots_of_letters(texts), plain_bigrams(documents)
+    runs = cut(judged_signs(scored_runs(texts, bigrams(texts, ascii_)), slots))
     plain = translated(texts, chosen(runs, learned(runs)), "left")
-    runs = cut(judged_signs(scored_runs(texts, bigrams(plain)), slots))
+    runs = cut(judged_signs(scored_runs(texts, bigrams(plain, ascii_)), slots))
     return chosen(runs, learned(runs))
 
 

@@ -233,3 +233,13 @@ def test_lengths_tell_cut_headings_and_abbreviations(spark):
     found = {r.instance_id for r in truncation.judged(spark.createDataFrame(rows, "instance_id string, engine string, block_id string, text string"), _truncation_tables(spark)[1]).collect()}
     assert {r[0] for r in shown + cuts} | {"s0"} <= found
     assert not found & ({"s1", "s2"} | {r[0] for r in kept + known})
+
+
+def test_bigrams_are_counted_over_all_documents(spark, monkeypatch):
+    seen, real = [], garbled.scored_runs
+    monkeypatch.setattr(garbled, "scored_runs", lambda texts, counts: (seen.append(counts), real(texts, counts))[1])
+    rows = [(1, "a", "qz caf\u00e9 qz"), (2, "a", "qz plain"), (2, "a", "qz plain"), (3, None, "qzqz"), (4, "b", ""), (5, "b", None), (None, "b", "qz")]
+    garbled.garbled_runs(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    count = lambda b, x, y: min(b.rows[r][at] for r, at in enumerate(garbled._slot(ord(x), ord(y))))
+    assert [(count(b, "q", "z"), count(b, "z", "q"), count(b, "p", "l")) for b in seen] == [(5, 1, 1)] * 2
+    assert all(min(b.rows[r][at] for r, at in enumerate(garbled._slot(ord("q"), 0x1FFFFF))) == 5 for b in seen)
