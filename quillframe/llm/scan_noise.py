@@ -145,15 +145,14 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
     """(seen, seen_n, meant, meant_n): words and the far more frequent words whose folds are within ``DISTANCE``.
 
     Two folds within the distance share one of their ``GRAM * DISTANCE + 1`` rarest grams, so only those are joined.
+    Folds of up to ``GRAM`` characters may share none; they are keyed by themselves and by each one without a character
+    as well, and two of them within the distance share such a key.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, n, f = [], [], []
-            for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(word) < 40:
-                    w.append(word), n.append(count), f.append(fold(word))
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(f, pa.string())], ["word", "n", "folded"])
+            f = [fold(word) for word in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.string())], ["word", "n", "folded"])
 
     folded = cut(words.where("n > 0").select("word", "n").mapInArrow(spread, "word string, n long, folded string"))
 
@@ -164,12 +163,16 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
     counts = histogram(folded.select("folded").mapInArrow(all_grams, "gram string").select(F.xxhash64("gram").alias("gram")), "gram")
     ranks = folded.select("word", "n", "folded", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("folded") + 2 - GRAM)), lambda i: F.substring(F.concat(F.lit("^"), F.col("folded"), F.lit("$")), i + 1, F.lit(GRAM))).alias("grams"))
     hashed = ranks.withColumn("grams", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))))
+    size = F.length("folded")
+    less = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size)), lambda i: F.concat(F.substring(F.col("folded"), F.lit(1), i - 1), F.substring(F.col("folded"), i + 1, size)))
+    short = F.transform(F.array_distinct(F.concat(F.array("folded"), less)), lambda v: F.xxhash64(F.concat(F.lit("\x01"), v)))
+    hashed = hashed.withColumn("short", F.when(size <= GRAM, short))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, gram = [], []
-            for i, grams in enumerate(batch.column("grams").to_pylist()):
-                for g in sorted(grams, key=lambda g: (counts[g % SKETCH_BUCKETS], g))[: GRAM * DISTANCE + 1]:
+            for i, (grams, short) in enumerate(zip(batch.column("grams").to_pylist(), batch.column("short").to_pylist())):
+                for g in sorted(grams, key=lambda g: (counts[g % SKETCH_BUCKETS], g))[: GRAM * DISTANCE + 1] + (short or []):
                     take.append(i), gram.append(g)
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), *[batch.column(c).take(at) for c in ("word", "n", "folded")]], ["gram", "word", "n", "folded"])

@@ -243,3 +243,19 @@ def test_bigrams_are_counted_over_all_documents(spark, monkeypatch):
     count = lambda b, x, y: min(b.rows[r][at] for r, at in enumerate(garbled._slot(ord(x), ord(y))))
     assert [(count(b, "q", "z"), count(b, "z", "q"), count(b, "p", "l")) for b in seen] == [(5, 1, 1)] * 2
     assert all(min(b.rows[r][at] for r, at in enumerate(garbled._slot(ord("q"), 0x1FFFFF))) == 5 for b in seen)
+
+
+def test_candidates_of_short_and_long_words_are_exact(spark):
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return a[at:] == b[at + 1 :] if len(a) < len(b) else a[at + 1 :] == b[at + 1 :]
+
+    long = "donaudampfschifffahrtsgesellschaftskapitaensmuetze"
+    words = ["of", "on", "or", "at", "a", "is", "the", "tae", "tho", "cat", "cut", "ca", "word", "ward", "aaaa", "aaa", "k", long, long[:20] + "x" + long[21:]]
+    rows = [(w, 100_000 if i % 2 == 0 else 1) for i, w in enumerate(words)]
+    rows += [(w + "t", 1) for w in ("o", "c", "th")] + [("e" + long[1:], 1)]
+    found = {(r.seen, r.meant) for r in scan_noise.candidate_pairs(spark.createDataFrame(rows, "word string, n long")).collect()}
+    f = noise.fold
+    assert found == {(a, b) for a, n in rows for b, m in rows if m >= scan_noise.RATIO * n and near(f(a), f(b))}
