@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillframe.operators.grouped import grouped
 from quillframe.session import cut, table
 
-__all__ = ["cut", "table", "grouped", "words", "histogram", "name_free"]
+__all__ = ["cut", "table", "grouped", "words", "histogram", "name_free", "salted_join"]
 
 #: Buckets of every frequency sketch: the driver receives at most this many counters, whatever the input.
 SKETCH_BUCKETS = 65_536
@@ -32,3 +32,17 @@ def histogram(keys: DataFrame, column: str, buckets: int = SKETCH_BUCKETS) -> li
 def name_free(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra input columns with clashing names cannot disturb an operator."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: Rows of one key above which a join deals them into cells.
+CELL_ROWS = 20_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = CELL_ROWS) -> DataFrame:
+    """Inner join on ``key``; the rows of a key that ``left`` has more than ``rows`` times lie in several cells, and
+    those of ``right`` in each of them, so that no task gets the whole of a hot key."""
+    heavy = left.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("_cells")).where("_cells > 1")
+    cells = F.coalesce("_cells", F.lit(1))
+    spread = left.join(heavy, key, "left").withColumn("_cell", F.pmod(F.xxhash64(*left.columns), cells).cast("int")).drop("_cells")
+    every = right.join(heavy, key, "left").withColumn("_cell", F.explode(F.sequence(F.lit(0), cells - 1))).drop("_cells")
+    return spread.join(every, [key, "_cell"]).drop("_cell")

@@ -129,4 +129,20 @@ SQL: dict[str, str] = {
     "p2_found": f"""WITH {_WORDS}, {_SIDES}
  SELECT DISTINCT instance_id_a, instance_id_b FROM p JOIN s a ON a.instance_id = instance_id_a JOIN s b ON b.instance_id = instance_id_b WHERE a.side <> b.side
  UNION SELECT least(a.instance_id, b.instance_id), greatest(a.instance_id, b.instance_id) FROM f a JOIN f b ON a.file = b.file AND a.side = 'train' AND b.side = 'eval' WHERE a.instance_id <> b.instance_id""",
+    "p2_report": f"""WITH {_WORDS}, {_SIDES},
+ o AS (SELECT DISTINCT instance_id_a, instance_id_b FROM p JOIN s a ON a.instance_id = instance_id_a JOIN s b ON b.instance_id = instance_id_b WHERE a.side <> b.side
+ UNION SELECT least(a.instance_id, b.instance_id), greatest(a.instance_id, b.instance_id) FROM f a JOIN f b ON a.file = b.file AND a.side = 'train' AND b.side = 'eval' WHERE a.instance_id <> b.instance_id),
+ h AS (SELECT instance_id, min(CASE WHEN name IN ('val', 'validation') THEN 'validation' ELSE name END) AS split_name, coalesce(min(source), 'unknown') AS source FROM
+ (SELECT instance_id, source, lower(coalesce(split, list_filter(string_split(replace(document_pdf, '\\', '/'), '/'), lambda x: x NOT IN ('', '.'))[1])) AS name FROM tasks)
+ WHERE name IN ('val', 'validation', 'test') GROUP BY 1),
+ e AS (SELECT i, count(*) AS n FROM (SELECT instance_id_a AS i FROM o UNION ALL SELECT instance_id_b FROM o) GROUP BY 1)
+ SELECT split_name, source, count(*) AS n_tasks, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs FROM h LEFT JOIN e ON i = instance_id GROUP BY 1, 2""",
+    "p2_coverage": f"""WITH {_SIDES},
+ q AS (SELECT DISTINCT t.instance_id, s.side, regexp_extract_all(lower(coalesce(t.user_query, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM tasks t JOIN s ON s.instance_id = t.instance_id AND s.side IS NOT NULL
+ WHERE s.document_pdf IS NOT DISTINCT FROM t.document_pdf),
+ g AS (SELECT instance_id, side, w, i, w[i:i + 4] AS span FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM q WHERE len(w) >= 5)),
+ c AS (SELECT instance_id, w, count(DISTINCT i + k) AS n FROM g, range(5) r(k) WHERE side = 'eval' AND span IN (SELECT span FROM g WHERE side = 'train') GROUP BY 1, 2),
+ u AS (SELECT DISTINCT instance_id, w FROM q WHERE side = 'eval')
+ SELECT u.instance_id, CAST(len(u.w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_covered, round(CASE WHEN len(u.w) > 0 THEN coalesce(c.n, 0) / len(u.w) ELSE 0.0 END, 6) AS coverage
+ FROM u LEFT JOIN c ON c.instance_id = u.instance_id AND c.w = u.w""",
 }

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.llm import graph, neardup, overlap, setjoin
+from quillframe.llm.common import salted_join
 from quillframe.session import table
 
 SCHEMA = "instance_id string, user_query string, document_pdf string, split string, source string, text string, set_id string"
@@ -110,25 +111,55 @@ def test_a_third_of_the_rows_may_be_copies(spark):
     assert pairs(neardup.similar_pairs(tasks(spark, rows))) == brute(rows)
 
 
-@pytest.mark.parametrize("limit", [20_000, 3])
-def test_cross_split_pairs_match_brute_force(spark, limit):
-    rows = made(5)
+@pytest.mark.parametrize("limit", [20_000, 4, 2, 1])
+def test_cross_split_pairs_and_files_match_brute_force(spark, limit):
+    rows = [(i, q, f"{s}/d{k % 60}.pdf" if k % 3 else None, s) for k, (i, q, _, s) in enumerate(made(5))]
     side = {r[0]: "train" if r[3] == "train" else "eval" for r in rows}
     want = {p for p in brute(rows) if side[p[0]] != side[p[1]]}
+    name = {r[0]: (r[2] or "/").split("/")[1] for r in rows}
+    want |= {(a, b) for a in name for b in name if a < b and name[a] and name[a] == name[b] and side[a] != side[b]}
     assert pairs(overlap.cross_split_pairs(tasks(spark, rows), list_limit=limit)) == want
 
 
-def test_files_in_the_bucket_of_a_hot_word_keep_their_pairs(spark):
-    queries = made(7, 120)
-    held = [F.pmod(F.xxhash64(F.lit(f"w{i}")), F.lit(setjoin.SKETCH_BUCKETS)) for i in range(60)]
-    named = spark.range(40_000).select(F.concat(F.lit("doc-"), "id").alias("f"))
-    clash = [r.f for r in named.where(F.pmod(F.xxhash64(F.concat(F.lit("file:"), "f")), F.lit(setjoin.SKETCH_BUCKETS)).isin(held)).limit(5).collect()]
-    assert len(clash) == 5
-    rows = queries + [(f"{s[0]}{i}-{k}", None, f"{s}/{f}.pdf", s) for i, f in enumerate(clash) for s in ("train", "val") for k in range(4)]
-    side = {r[0]: "train" if r[3] == "train" else "eval" for r in rows}
-    want = {p for p in brute(rows) if side[p[0]] != side[p[1]]}
-    want |= {(f"t{i}-{k}", f"v{i}-{m}") for i in range(5) for k in range(4) for m in range(4)}
-    assert pairs(overlap.cross_split_pairs(tasks(spark, rows), list_limit=3)) == want
+@pytest.mark.parametrize("t,least", [(0.75, 12), (0.75, 1), (0.8, 5), (0.5, 3), (0.9, 12)])
+def test_similar_sets_share_a_span_within_reach(t, least):
+    rng = random.Random(3)
+    depth = overlap.guaranteed(t, least)
+    seen = 0
+    while seen < 300:
+        x = set(rng.sample(range(1_000), rng.randrange(least, 40)))
+        y = set(x)
+        for _ in range(rng.randrange(1, 12)):
+            if rng.random() < 0.5 and y:
+                y.discard(rng.choice(sorted(y)))
+            else:
+                y.add(rng.randrange(1_000))
+        if x == y or len(y) < least or len(x & y) / len(x | y) < t:
+            continue
+        seen += 1
+        spans = [{tuple(w[i : i + depth]) for i in range(int(overlap.reach(np.array([len(w)]), depth, t)[0]) + 1)} for w in (sorted(x), sorted(y))]
+        assert spans[0] & spans[1], (sorted(x), sorted(y))
+    assert overlap.guaranteed(0.75, 12) == 3
+
+
+@pytest.mark.parametrize("limit", [20_000, 2])
+def test_shared_spans_match_brute_force(spark, limit):
+    rows = made(9, 120)
+    train = {tuple(w[i : i + 5]) for r in rows if r[3] == "train" for w in [r[1].lower().split()] for i in range(len(w) - 4)}
+    want = {}
+    for i, q, _, s in rows:
+        if s != "train":
+            w = q.lower().split()
+            want[i] = len({p + k for p in range(len(w) - 4) if tuple(w[p : p + 5]) in train for k in range(5)})
+    assert {r.instance_id: r.n_covered for r in overlap.shared_spans(tasks(spark, rows), 5, limit).collect()} == want
+
+
+def test_a_file_with_many_copies_on_both_sides(spark):
+    rows = [(f"{s}{i:03d}", None, f"{s}/one.pdf", s) for s in ("train", "val") for i in range(30)]
+    left = spark.createDataFrame([(i, "k") for i in range(50)] + [(99, None)], "x int, key string")
+    right = spark.createDataFrame([(i, "k") for i in range(7)], "y int, key string")
+    assert salted_join(left, right, "key", 4).distinct().count() == 350
+    assert overlap.cross_split_pairs(tasks(spark, rows)).count() == 900
 
 
 @pytest.mark.parametrize("t", [0.75, 0.5, 0.34])
