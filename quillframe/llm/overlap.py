@@ -70,7 +70,7 @@ def split_name(split: Column, path: Column) -> Column:
 def _sided(tasks: DataFrame) -> DataFrame:
     rows = name_free(tasks, "instance_id", "user_query", "document_pdf", "split").where("instance_id IS NOT NULL")
     rows = rows.withColumn("side", side(F.col("split"), F.col("document_pdf"))).where("side IS NOT NULL")
-    return rows.select("instance_id", "user_query", "document_pdf", "side").distinct()
+    return rows.select("instance_id", "user_query", "document_pdf", "side")
 
 
 def guaranteed(similarity: float, least: int) -> int:
@@ -229,15 +229,16 @@ def cross_split_pairs(tasks: DataFrame, similarity: float = SIMILARITY, least: i
     Rows without id or side are ignored; a null query or path matches nothing; queries of fewer than ``least`` distinct
     words match nothing; repeated rows count once; extra columns are ignored; an empty table gives an empty result.
     """
-    rows = _sided(tasks)
-    texts = rows.where("user_query IS NOT NULL").select("instance_id", "side", F.array_sort(F.transform(words(F.col("user_query")), lambda w: F.xxhash64(w))).alias("tokens"))
-    texts = texts.where(F.size("tokens") >= least).withColumn("set_id", F.xxhash64("tokens"))
+    tokens = F.array_sort(F.transform(words(F.col("user_query")), lambda w: F.xxhash64(w)))
+    # Words are split and names are cleaned once; everything after reads hashes.
+    rows = cut(_sided(tasks).select("instance_id", "side", canonical_file(F.col("document_pdf")).alias("file"), tokens.alias("tokens")))
+    texts = rows.where(F.size("tokens") >= least).select("instance_id", "side", "tokens", F.xxhash64("tokens").alias("set_id"))
     flags = [F.max((F.col("side") == s).cast("int")).alias(c) for s, c in (("train", "train"), ("eval", "held"))]
     reps = cut(texts.groupBy("set_id").agg(F.first("tokens").alias("tokens"), *flags))
     near = setjoin.verified(Array(reps, similarity, least, list_limit).proposed(), reps, similarity).select("a", "b")
     # Equal texts are one text of the array, with both sides.
     same = reps.where("train = 1 AND held = 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
-    files = rows.select("instance_id", "side", canonical_file(F.col("document_pdf")).alias("file")).where("file IS NOT NULL")
+    files = rows.where("file IS NOT NULL")
     return _instances(near.unionByName(same), texts.select("instance_id", "side", "set_id").distinct(), files.select("instance_id", "side", "file").distinct())
 
 
@@ -278,7 +279,7 @@ def shared_spans(tasks: DataFrame, span: int = SPAN, list_limit: int = setjoin.L
     """
     rows = _sided(tasks).select("instance_id", "side", F.coalesce("user_query", F.lit("")).alias("q"))
     token = F.transform(F.regexp_extract_all(F.lower("q"), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: F.xxhash64(w))
-    rows = rows.withColumn("tokens", token).withColumn("text_id", F.xxhash64("tokens"))
+    rows = cut(rows.select("instance_id", "side", token.alias("tokens"))).withColumn("text_id", F.xxhash64("tokens"))
     flags = [F.max((F.col("side") == s).cast("int")).alias(c) for s, c in (("train", "train"), ("eval", "held"))]
     texts = cut(rows.groupBy("text_id").agg(F.first("tokens").alias("tokens"), *flags))
 
