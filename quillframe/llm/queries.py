@@ -64,7 +64,7 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     containers = table(spark, sf_dir, "containers")
-    return packing.packing_report(packing.packed(table(spark, sf_dir, "documents"), containers), containers)
+    return packing.packing_report(packing.Packing(table(spark, sf_dir, "documents"), containers), containers)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

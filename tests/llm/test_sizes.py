@@ -1,7 +1,9 @@
 """Problems 6 and 7: packing and mixing."""
 
+import bisect
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ import pytest
 from quillframe.llm import mixing, packing
 from quillframe.llm.queries import QUERIES
 from quillframe.llm.tokens import sized
+from quillframe.session import table
 
 DOC = "doc_id long, source string, text string, tokens int, kind string"
 
@@ -45,25 +48,72 @@ def test_every_document_is_packed_once_and_nothing_overflows(spark):
     assert {r.container_kind for r in rows} == {"small", "large"}
 
 
-def test_crossover_keeps_every_item_once():
-    rng = random.Random(1)
-    sizes = [rng.randrange(1, 60) for _ in range(200)]
-    a = packing.best_fit([], list(range(200)), sizes, 100)
-    items = list(range(200))
-    rng.shuffle(items)
-    b = packing.best_fit(packing.best_fit([], items[:90], sizes, 100), items[90:], sizes, 100)
-    for made in (packing.crossover(a, b, sizes, 100, rng), packing.mutate(b, sizes, 100, rng), packing.evolve(sizes, 100, [b], 5, rng)):
-        assert sorted(i for _, m in made for i in m) == list(range(200))
-        assert all(used == sum(sizes[i] for i in m) <= 100 for used, m in made)
-    assert len(packing.evolve(sizes, 100, [a, b], 20, rng)) <= len(a)
+def counted(solution):
+    out = Counter()
+    for filling, m in solution.items():
+        for size, n in filling:
+            out[size] += n * m
+    return {s: n for s, n in out.items() if n}
+
+
+def item_by_item(sizes, capacity):
+    """Best fit decreasing over single items; the number of bins."""
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(rooms, size)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - size)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_operators_keep_every_item_and_best_fit_is_that_of_single_items(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randrange(0 if seed % 2 else 1, 60) for _ in range(400)]
+    items = dict(Counter(sizes))
+    plain = packing.best_fit({}, items, 100)
+    assert sum(plain.values()) == item_by_item(sizes, 100)
+    other = packing.mutate(packing.mutate(plain, 100, rng), 100, rng)
+    for made in (plain, other, packing.crossover(plain, other, items, 100, rng), packing.evolve(items, 100, [other], 5, rng)):
+        assert counted(made) == items and all(packing.used(f) <= 100 for f in made)
+    assert sum(packing.evolve(items, 100, [other], 20, rng).values()) <= sum(plain.values())
+
+
+def test_evolution_beats_best_fit():
+    better = 0
+    for seed in range(12):
+        rng = random.Random(seed)
+        items = dict(Counter(rng.randrange(20, 70) for _ in range(120)))
+        plain, found = packing.best_fit({}, items, 150), packing.evolve(items, 150, [], 40, rng)
+        assert sum(found.values()) <= sum(plain.values())
+        better += sum(found.values()) < sum(plain.values())
+    assert better >= 2
+
+
+def test_sizes_with_very_many_items_are_numbered_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    docs = spark.createDataFrame([(i, "a", "" if i % 3 else "one two three", 1, "k") for i in range(90)], DOC)
+    rows = packing.packed(docs, containers(spark, [("k", 7)])).collect()
+    assert len(rows) == 90 and {r.doc_id for r in rows} == set(range(90))
+    used = Counter()
+    for r in rows:
+        used[r.container_id] += r.tokens
+    assert max(used.values()) <= 7 and len(used) == 15
 
 
 def test_packing_of_empty_tables(spark):
     docs = documents(spark)
     assert packing.packed(docs.where("1 = 0"), containers(spark, [("a", 10)])).count() == 0
     assert packing.packed(docs, containers(spark, [("a", 10)]).where("1 = 0")).count() == 0
-    report = packing.packing_report(packing.packed(docs, containers(spark, [("a", 128)])), containers(spark, [("a", 128)])).first()
-    assert report.n_containers >= report.least_possible
+
+
+def test_packing_never_needs_more_than_best_fit_over_all_documents(spark, sf):
+    docs, kinds = table(spark, sf, "documents"), table(spark, sf, "containers")
+    tokens = [r.tokens for r in sized(docs).collect()]
+    for r in packing.packing_report(packing.Packing(docs, kinds), kinds).collect():
+        pieces = [t % r.capacity_tokens for t in tokens if t % r.capacity_tokens or not t]
+        whole = sum(t // r.capacity_tokens for t in tokens)
+        assert r.least_possible <= r.n_containers <= r.best_fit == item_by_item(pieces, r.capacity_tokens) + whole
 
 
 def targets(spark, rows):
