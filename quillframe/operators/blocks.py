@@ -173,3 +173,27 @@ def engine_lines(images: DataFrame, recognise, schema: str) -> DataFrame:
             yield engine(batch)
 
     return images.mapInPandas(run, schema)
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def output_reason(text: Column) -> Column:
+    """``valid``, or why an output is no usable reading: empty, one character for 95 % of 64 or more, no block b01 to b23."""
+    t = stripped(text)
+    most = F.array_max(F.transform(F.array_distinct(F.split(t, "")), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit("")))))
+    labelled = F.regexp_replace(t, "<[^>]+>", " ").rlike(r"(?i)\bb(0[1-9]|1[0-9]|2[0-3])\s*:")
+    return F.when(t == "", "empty_output").when((F.length(t) >= 64) & (most >= 0.95 * F.length(t)), "degenerate_repeated_character").when(~labelled, "no_b01_b23_blocks").otherwise("valid")
+
+
+def snippets(lines: DataFrame, evidence: DataFrame, page: list[str], order: list[str]) -> DataFrame:
+    """(page columns, evidence, snippet): the first line of a page that opens with an evidence id and a colon, and the two
+    lines after it.  ``lines`` are trimmed and not empty; ``evidence`` (instance_id, evidence) holds plain ids."""
+    w = Window.partitionBy(*page).orderBy(*order)
+    rows = lines.withColumn("snippet", F.concat_ws(" ", "line", F.lead("line").over(w), F.lead("line", 2).over(w))).withColumn("i", F.row_number().over(w))
+    # Only lines that open with some id meet the evidence.
+    opened = rows.withColumn("id", F.lower(F.regexp_extract("line", r"^([A-Za-z0-9]+)\s*:", 1))).where("id != ''")
+    hits = opened.join(evidence.withColumn("id", F.lower("evidence")), ["instance_id", "id"])
+    return hits.groupBy(*page, "evidence").agg(F.min_by("snippet", "i").alias("snippet"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
+from quillframe.functions.arithmetic import same_answer
 from quillframe.functions.quantity import common_items, prf
 
 
@@ -86,3 +87,38 @@ def latency(rows: DataFrame, by: list[str], seconds: str) -> DataFrame:
         F.count(s).alias("n"), F.avg(s).alias("mean"), F.expr(f"median({seconds})").alias("median"),
         F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {seconds})").alias("p95"), F.max(s).alias("most"), (F.lit(60.0) / F.avg(s)).alias("per_minute"),
     )
+
+
+def instance_scores(documents: DataFrame) -> DataFrame:
+    """The composite score of a document: ``documents`` (id, a, b, xs, ys) hold reference and seen text and block ids.
+
+    Errors are over the reference's length; nothing against nothing is no error, anything against nothing is all error.
+    """
+    a, b = F.col("a"), F.col("b")
+    n, m = F.length(a).cast("long"), F.length(b).cast("long")
+    d = T.char_distance(a, b).cast("long")
+    cer = F.when(F.col("reference_chars") == 0, F.when(F.col("seen_chars") == 0, 0.0).otherwise(1.0)).otherwise(F.col("distance") / F.col("reference_chars"))
+    base = documents.select("id", (a == b).alias("exact"), n.alias("reference_chars"), m.alias("seen_chars"), d.alias("distance"), "xs", "ys")
+    ids = agreement(F.col("xs"), F.col("ys"))
+    return base.select(
+        "id", "exact", "reference_chars", "seen_chars", "distance", cer.alias("cer"), F.greatest(F.lit(0.0), 1 - cer).alias("accuracy"),
+        T.similarity(F.col("distance"), F.col("reference_chars"), F.col("seen_chars")).alias("similarity"), ids["f1"].alias("block_f1"), ids["ordered_exact"].alias("ordered_exact"),
+    )
+
+
+def scorecard(scores: DataFrame) -> DataFrame:
+    """Macro and micro rates over all documents of :func:`instance_scores`."""
+    micro = F.sum("distance") / F.sum("reference_chars")
+    return scores.agg(
+        F.count("*").alias("instances"), F.count(F.when(F.col("exact"), 1)).alias("exact_count"), F.avg("cer").alias("macro_cer"), micro.alias("micro_cer"),
+        (100.0 * F.greatest(F.lit(0.0), 1 - micro)).alias("text_score"), F.avg("similarity").alias("macro_similarity"), F.avg("block_f1").alias("mean_block_f1"),
+        F.count(F.when(F.col("ordered_exact"), 1)).alias("ordered_exact_count"), (F.count(F.when(F.col("ordered_exact"), 1)) / F.count("*")).alias("ordered_exact_rate"),
+    )
+
+
+def portal(rows: DataFrame) -> DataFrame:
+    """Scores of submitted rows (told, shown) against labels (answer, evidence), evidence as sorted sets; nothing against
+    nothing agrees."""
+    shown, label = F.col("shown"), F.col("evidence")
+    hits, size = F.size(F.array_intersect(shown, label)), F.size(shown) + F.size(label)
+    return rows.withColumn("answer_score", same_answer(F.col("told"), F.col("answer")).cast("double")).withColumn("evidence_exact", (shown == label).cast("double")).withColumn("evidence_f1", F.when(size == 0, 1.0).otherwise(2.0 * hits / size))

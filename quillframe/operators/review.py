@@ -28,6 +28,15 @@ def review_rules() -> list[Rule]:
     ]
 
 
+# Fields that give a label away.
+LABEL_FIELDS = ("answer", "candidate_answers", "evidence", "labels", "portal_score", "portal_scores")
+
+
+def gives_label_away(fields: Column) -> Column:
+    """Whether a record has a field that holds or hints at its label."""
+    return F.exists(fields, lambda f: F.lower(f).isin(*LABEL_FIELDS))
+
+
 def question_rules(forbidden: Column) -> list[Rule]:
     """A blind question: an id, text, a safe path, pages with text, and no label field."""
     return [

@@ -110,3 +110,17 @@ def line_rules() -> list[Rule]:
         Rule("box_off_page", (box["left"] + box["width"] > F.col("page_width")) | (box["top"] + box["height"] > F.col("page_height"))),
         Rule("bad_block_id", ~F.col("block_id").rlike("^b[0-9]{2,}$")),
     ]
+
+
+# What a report must not claim without an experiment, in four forms.
+CLAIMS = (
+    r"(?i)\b\d+(?:\.\d+)?%\s*(?:improved|improvement|better|higher|lower|gain(?:ed)?|increase(?:d)?|decrease(?:d)?|accuracy|precision|recall|향상|개선|증가|감소|달성)\b",
+    r"(?i)\b(?:accuracy|precision|recall|f1|auroc|auprc|score|performance)\s*(?:=|:|was|is|rose|reached|increased|decreased|improved)\s*\d+(?:\.\d+)?%?",
+    r"(?:정확도|정밀도|재현율|점수|성능|F1|AUROC|AUPRC)\s*(?:가|는|은|:|=)?\s*\d+(?:\.\d+)?%?\s*(?:였다|이다|달성했다|향상됐다|향상되었다|개선됐다|개선되었다|증가했다|감소했다)",
+    r"(?:실측값|실측 결과|측정 결과)\s*(?:은|는|:|=)\s*[^\n]*\d+(?:\.\d+)?",
+)
+
+
+def claims(text: Column) -> list[Column]:
+    """Whether a text makes a claim of each form; word limits are those of Unicode."""
+    return [text.rlike(f"(?U){p}") for p in CLAIMS]

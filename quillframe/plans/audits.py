@@ -83,16 +83,6 @@ def equation_support(spark, d):
     return proved.select("l_orderkey", "l_linenumber", F.array_join("proof", ";").alias("proof"), F.array_join("check", ";").alias("verification"), independent.alias("independent"))
 
 
-@query(sql(f"t q|s AS (SELECT instance_id, {_FLAT} AS q FROM t WHERE user_query IS NOT NULL), a AS (SELECT s.instance_id, q.answer, regexp_matches(s.q, '(?i)\\b(?:last|remaining)\\b.*\\b(?:last|remaining)\\b') OR regexp_matches(s.q, '(?i)\\b(?:unrelated|irrelevant)\\b') OR regexp_matches(s.q, '\\b\\d+(?:\\.\\d+)?\\s*=\\s*\\d+\\b|\\b(?:it|to|the)[a-z]{{8,}}\\b') AS tagged FROM s LEFT JOIN q USING (instance_id))",
-    "SELECT instance_id, answer, CASE WHEN answer IS NULL THEN 'label_unverifiable' WHEN regexp_full_match(answer, '\\S+') THEN 'aligned' ELSE 'normalized_equivalent' END AS alignment, CASE WHEN tagged THEN 'S2' ELSE 'S0' END AS severity FROM a"))
-def alignment_severity(spark, d):
-    t = _flat(inputs.tasks(spark, d).where("user_query IS NOT NULL")).select("instance_id", S.tags(F.col("q")).alias("tags"))
-    lexical = F.filter("tags", lambda x: x.isin("quantifier_scope_last_remaining", "distractor_operand_interference", "extraction_or_ocr_uncertain"))
-    joined = t.join(inputs.labels(spark, d).select("instance_id", "answer"), "instance_id", "left")
-    alignment = F.when(F.col("answer").isNull(), "label_unverifiable").when(F.col("answer").rlike(r"^\S+$"), "aligned").otherwise("normalized_equivalent")
-    return joined.select("instance_id", "answer", alignment.alias("alignment"), S.severity(lexical, F.lit(False)).alias("severity"))
-
-
 @query(sql("t q|s AS (SELECT collection_id, instance_id, answer, trim(regexp_replace(regexp_replace(lower(user_query), '\\d+(\\.\\d+)?', '#', 'g'), '\\s+', ' ', 'g')) AS k FROM t JOIN q USING (instance_id) WHERE user_query IS NOT NULL), g AS (SELECT *, lag(k) OVER w AS bk, lag(answer) OVER w AS ba, row_number() OVER w AS i FROM s WINDOW w AS (PARTITION BY collection_id ORDER BY instance_id, answer NULLS FIRST))",
     "SELECT collection_id, instance_id, answer, i > 1 AND coalesce(k = bk, false) AND answer IS NOT DISTINCT FROM ba AS carried FROM g"))
 def label_carryover(spark, d):
@@ -130,11 +120,4 @@ def review_routing(spark, d):
     return x.join(y, "instance_id").select("instance_id", bucket.alias("bucket")).groupBy("instance_id", "bucket").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey, CASE p_brand WHEN 'Brand#1' THEN 'first' ELSE lower(replace(p_brand, '#', '_')) END AS tag FROM part""")
-def tag_alias(spark, d):
-    """Aliases by a map, everything else by a rule."""
-    alias = F.create_map(F.lit("Brand#1"), F.lit("first"))
-    return table(spark, d, "part").select("p_partkey", F.coalesce(alias[F.col("p_brand")], F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("tag"))
-
-
 QUERIES, SQL = query.queries, query.sql

@@ -17,6 +17,46 @@ query = Registry()
 _R6 = lambda c: F.round(c, 6)
 
 
+_FLAT = "regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), '[ \\t]+', ' ', 'g')"
+
+
+@query(sql(f"b ends ra pa|x AS (SELECT id, block_id, {_FLAT} AS a FROM ra WHERE block_id IS NOT NULL), y AS (SELECT id, block_id, {_FLAT} AS b FROM pa WHERE block_id IS NOT NULL), j AS (SELECT coalesce(x.id, y.id) AS id, coalesce(a, '') AS a, coalesce(b, '') AS b FROM x FULL OUTER JOIN y ON x.id = y.id AND x.block_id = y.block_id), s AS (SELECT lo, hi, levenshtein(a, b) AS d, length(a) AS n FROM j JOIN ends ON ends.instance_id = j.id)",
+    "SELECT lo AS reference, hi AS seen, CAST(sum(d) AS BIGINT) AS distance, CAST(sum(n) AS BIGINT) AS length, round(sum(d) / sum(n), 6) AS micro_cer, round(100.0 * greatest(0.0, 1 - sum(d) / sum(n)), 6) AS text_score FROM s GROUP BY 1, 2"))
+def eval_micro_cer(spark, d):
+    """Micro character error rate between two engines that read the same documents; a block one lacks counts as a whole.
+
+    Characters beyond ASCII count as one class, so that any SQL engine can check the distances.
+    """
+    def fold(rows):
+        return rows.where("block_id IS NOT NULL").withColumn("text", T.strict_text(F.regexp_replace("text", r"[^\x00-\x7F]", "?")))
+
+    reference, seen = (fold(x) for x in inputs.engine_pairs(spark, d))
+    engines = inputs.blocks(spark, d).where("text IS NOT NULL").groupBy(F.col("instance_id").alias("id")).agg(F.min("engine").alias("lo"), F.max("engine").alias("hi"))
+    rows = E.compared(reference, seen).na.fill("", ["reference", "seen"])
+    scored = rows.select("id", T.char_distance(F.col("reference"), F.col("seen")).alias("distance"), F.length("reference").alias("length"))
+    out = E.micro_error(scored.join(engines, "id"), ["lo", "hi"])
+    score = F.lit(100.0) * F.greatest(F.lit(0.0), 1 - F.col("error_rate"))
+    return out.select(F.col("lo").alias("reference"), F.col("hi").alias("seen"), "distance", "length", _R6("error_rate").alias("micro_cer"), _R6(score).alias("text_score"))
+
+
+_SUBMITTED = """g AS (SELECT DISTINCT instance_id, answer, list_sort(list_distinct(evidence)) AS evidence, substr(sha256('portal:' || instance_id), 1, 1) AS f FROM q WHERE answer IS NOT NULL),
+ s AS (SELECT *, CASE f WHEN '0' THEN answer || '0' WHEN '1' THEN '  ' || answer ELSE answer END AS told, CASE f WHEN '2' THEN evidence[1:len(evidence) - 1] WHEN '3' THEN list_sort(list_append(evidence, 'b99')) WHEN '4' THEN [] ELSE evidence END AS shown FROM g WHERE evidence IS NOT NULL)"""
+
+
+@query(sql(f"q|{_SUBMITTED}", """SELECT instance_id, answer, CAST(CASE WHEN TRY_CAST(replace(trim(told), ',', '') AS DECIMAL(38, 18)) IS NOT NULL AND TRY_CAST(replace(trim(answer), ',', '') AS DECIMAL(38, 18)) IS NOT NULL
+ THEN TRY_CAST(replace(trim(told), ',', '') AS DECIMAL(38, 18)) = TRY_CAST(replace(trim(answer), ',', '') AS DECIMAL(38, 18)) ELSE lower(replace(trim(told), ',', '')) = lower(replace(trim(answer), ',', '')) END AS DOUBLE) AS answer_score,
+ CAST(shown = evidence AS DOUBLE) AS evidence_exact, round(CASE WHEN len(shown) + len(evidence) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(shown, evidence)) / (len(shown) + len(evidence)) END, 6) AS evidence_f1 FROM s"""))
+def portal_score(spark, d):
+    """A submission against the labels: answers as numbers or text, evidence as sets. The submission is made from the
+    labels, with answers changed or padded and evidence dropped, added or left out."""
+    g = inputs.labels(spark, d).where("answer IS NOT NULL AND evidence IS NOT NULL").select("instance_id", "answer", F.array_sort(F.array_distinct("evidence")).alias("evidence")).distinct()
+    f = F.substring(F.sha2(F.concat(F.lit("portal:"), F.col("instance_id")), 256), 1, 1)
+    told = F.when(f == "0", F.concat("answer", F.lit("0"))).when(f == "1", F.concat(F.lit("  "), "answer")).otherwise(F.col("answer"))
+    e = F.col("evidence")
+    shown = F.when(f == "2", F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0)))).when(f == "3", F.array_sort(F.array_append(e, F.lit("b99")))).when(f == "4", F.array().cast("array<string>")).otherwise(e)
+    return E.portal(g.withColumn("told", told).withColumn("shown", shown)).select("instance_id", "answer", "answer_score", "evidence_exact", _R6("evidence_f1").alias("evidence_f1"))
+
+
 def _rebuilt_against_stored(spark, d):
     """(id, block_id, reference, seen): the text rebuilt from lines, and the text the engine stored."""
     doc = ["instance_id", "engine"]
@@ -26,18 +66,6 @@ def _rebuilt_against_stored(spark, d):
     return first.join(stored, [*doc, "block_id"])
 
 
-@query()
-def eval_micro_cer(spark, d):
-    """Micro character error rate of stored blocks against blocks rebuilt from lines, per engine."""
-    rows = _rebuilt_against_stored(spark, d)
-    a, b = T.strict_text(F.col("reference")), T.strict_text(F.col("seen"))
-    texts = rows.select("engine", a.alias("a"), b.alias("b"))
-    scored = texts.select("engine", T.char_distance(F.col("a"), F.col("b")).alias("distance"), F.length("a").alias("length"))
-    out = E.micro_error(scored, ["engine"])
-    score = F.lit(100.0) * F.greatest(F.lit(0.0), 1 - F.col("error_rate"))
-    return out.select("engine", "distance", "length", _R6("error_rate").alias("micro_cer"), _R6(score).alias("text_score"))
-
-
 @query()
 def eval_word_rates(spark, d):
     """Micro word error rate and mean similarity of stored against rebuilt blocks, per engine."""
@@ -162,24 +190,6 @@ def char_diff(spark, d):
     return joined.select("id", "block_id", F.explode(T.char_diff("x", "y")).alias("s")).select("id", "block_id", "s.*")
 
 
-@query(sql("rec", """SELECT engine, count(*) AS n, count(CASE WHEN status = 'ok' THEN 1 END) AS n_ok, count(CASE WHEN status = 'failed' THEN 1 END) AS n_failed,
- round(count(CASE WHEN status = 'ok' THEN 1 END) / count(*), 6) AS ok_share, CAST(coalesce(sum(len(pages)), 0) AS BIGINT) AS n_pages FROM rec GROUP BY 1"""))
-def score_instances(spark, d):
-    ok = F.count(F.when(F.col("status") == "ok", 1))
-    return inputs.records(spark, d).groupBy("engine").agg(F.count("*").alias("n"), ok.alias("n_ok"), F.count(F.when(F.col("status") == "failed", 1)).alias("n_failed"), _R6(ok / F.count("*")).alias("ok_share"), F.coalesce(F.sum(F.when(F.col("pages").isNotNull(), F.size("pages"))), F.lit(0)).cast("long").alias("n_pages"))
-
-
-@query(sql("q", """SELECT a.instance_id, CAST(a.answer = c.answer AS DOUBLE) AS answer_score, CAST(list_sort(list_distinct(a.evidence)) = list_sort(list_distinct(c.evidence)) AS DOUBLE) AS evidence_exact,
- round(2.0 * len(list_intersect(list_distinct(a.evidence), list_distinct(c.evidence))) / (len(list_distinct(a.evidence)) + len(list_distinct(c.evidence))), 6) AS evidence_f1
- FROM q a JOIN (SELECT instance_id, min(answer) AS answer, min(evidence) AS evidence FROM q WHERE answer IS NOT NULL AND len(evidence) > 0 GROUP BY 1) c USING (instance_id) WHERE a.answer IS NOT NULL AND len(a.evidence) > 0"""))
-def portal_score(spark, d):
-    q = inputs.labels(spark, d).where("answer IS NOT NULL AND size(evidence) > 0")
-    c = q.groupBy("instance_id").agg(F.min("answer").alias("c"), F.min("evidence").alias("e"))
-    a, b = F.array_distinct("evidence"), F.array_distinct("e")
-    f = 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
-    return q.join(c, "instance_id").select("instance_id", (F.col("answer") == F.col("c")).cast("double").alias("answer_score"), (F.array_sort(a) == F.array_sort(b)).cast("double").alias("evidence_exact"), _R6(f).alias("evidence_f1"))
-
-
 @query(sql("r", """SELECT name, CAST(count(*) AS BIGINT) AS n, CAST(to_json({'n_ok': count(CASE WHEN status = 'ok' THEN 1 END), 'n_failed': count(CASE WHEN status = 'failed' THEN 1 END)}) AS VARCHAR) AS states FROM r GROUP BY 1"""))
 def csv_projection(spark, d):
     from quillframe.sources.sinks import flat_csv

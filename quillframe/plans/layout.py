@@ -137,22 +137,31 @@ def html_text(spark, d):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return inputs.results(spark, d).where("raw_output LIKE '<%'").select("instance_id", "model_index", text.alias("text"))
 
+#: Outputs that reach each verdict, beside the stored ones.
+_OUTPUTS = [("d1", "x" + "a" * 200), ("d2", "b01: " + "a" * 100 + "b" * 100), ("d3", " \n "), ("d4", "a" * 63), ("d5", "b07: some text"), ("d6", "no labels at all"), ("d7", "<b>b24: text</b>"), ("d8", "<p>b01 :</p> x")]
+_MADE = ", ".join("('" + i + "', 0, '" + t.replace("\n", "' || chr(10) || '") + "')" for i, t in _OUTPUTS)
 
-@query(sql("b", """SELECT instance_id, engine, CASE WHEN max(n) IS NULL OR sum(n) = 0 THEN 'empty_output' WHEN sum(n) >= 64 AND max(m) >= 0.95 THEN 'degenerate_repeated_character' ELSE 'valid' END AS reason,
- CAST(coalesce(sum(n), 0) AS BIGINT) AS n_chars FROM (SELECT instance_id, engine, length(text) AS n, length(text) / nullif(length(text), 0) * 0 AS m FROM b WHERE text IS NOT NULL) GROUP BY 1, 2"""))
+
+@query(sql(f"r|o AS (SELECT instance_id, model_index, raw_output FROM r WHERE raw_output IS NOT NULL UNION ALL SELECT * FROM (VALUES {_MADE})), c AS (SELECT *, regexp_replace(raw_output, '^\\s+|\\s+$', '', 'g') AS t FROM o)",
+    """SELECT instance_id, model_index, CASE WHEN t = '' THEN 'empty_output' WHEN length(t) >= 64 AND list_max(list_transform(list_distinct(string_split(t, '')), lambda x: length(t) - length(replace(t, x, '')))) >= 0.95 * length(t) THEN 'degenerate_repeated_character'
+ WHEN NOT regexp_matches(regexp_replace(t, '<[^>]+>', ' ', 'g'), '(?i)\\bb(0[1-9]|1[0-9]|2[0-3])\\s*:') THEN 'no_b01_b23_blocks' ELSE 'valid' END AS reason, CAST(length(t) AS BIGINT) AS n_chars FROM c"""))
 def valid_ocr(spark, d):
-    """Whether an engine read anything of a document; texts of one repeated character are degenerate."""
-    b = inputs.blocks(spark, d).where("text IS NOT NULL")
-    per = b.groupBy("instance_id", "engine").agg(F.sum(F.length("text")).alias("n"), F.max(F.length(F.replace(F.col("text"), F.substring("text", 1, 1), F.lit("")))).alias("other"))
-    reason = F.when(F.coalesce("n", F.lit(0)) == 0, "empty_output").when((F.col("n") >= 64) & (F.col("other") * 20 <= F.col("n")), "degenerate_repeated_character").otherwise("valid")
-    return per.select("instance_id", "engine", reason.alias("reason"), F.coalesce("n", F.lit(0)).cast("long").alias("n_chars"))
+    """Whether an output holds a usable reading: some text, not one character repeated, at least one labelled block."""
+    made = spark.createDataFrame([(i, 0, t) for i, t in _OUTPUTS], "instance_id string, model_index int, raw_output string")
+    rows = inputs.results(spark, d).where("raw_output IS NOT NULL").select("instance_id", "model_index", "raw_output").unionByName(made)
+    text = B.stripped(F.col("raw_output"))
+    return rows.select("instance_id", "model_index", B.output_reason(F.col("raw_output")).alias("reason"), F.length(text).cast("long").alias("n_chars"))
 
 
-@query(sql("t l", """SELECT t.instance_id, l.engine, CAST(count(CASE WHEN l.block_id = 'b01' THEN 1 END) AS BIGINT) AS n_first, min(CASE WHEN l.block_id = 'b01' THEN l.text END) AS snippet FROM t JOIN l ON l.instance_id = t.instance_id GROUP BY 1, 2"""))
+@query(sql("l q|e AS (SELECT DISTINCT instance_id, unnest(evidence) AS evidence FROM q), n AS (SELECT instance_id, engine, page_number, source_order, text, trim(text) AS line FROM l WHERE trim(text) <> ''), w AS (SELECT *, lead(line) OVER o AS l1, lead(line, 2) OVER o AS l2, row_number() OVER o AS i FROM n WINDOW o AS (PARTITION BY instance_id, engine, page_number ORDER BY source_order, text))",
+    """SELECT instance_id, engine, page_number, evidence, arg_min(concat_ws(' ', line, l1, l2), i) AS snippet FROM w JOIN e USING (instance_id)
+ WHERE evidence IS NOT NULL AND regexp_matches(evidence, '^[A-Za-z0-9]+$') AND regexp_matches(line, '(?i)^' || evidence || '\\s*:') GROUP BY 1, 2, 3, 4"""))
 def evidence_snippet(spark, d):
-    t = inputs.tasks(spark, d).select("instance_id")
-    hit = F.col("block_id") == "b01"
-    return inputs.lines(spark, d).join(t, "instance_id").groupBy("instance_id", "engine").agg(F.count(F.when(hit, 1)).alias("n_first"), F.min(F.when(hit, F.col("text"))).alias("snippet"))
+    """Per page, the first line that starts with an evidence id and a colon, with the two lines after it."""
+    e = inputs.labels(spark, d).select("instance_id", F.explode("evidence").alias("evidence")).where("evidence RLIKE '^[A-Za-z0-9]+$'").distinct()
+    n = inputs.lines(spark, d).where("trim(text) != ''").select("instance_id", "engine", "page_number", "source_order", "text", F.trim("text").alias("line"))
+    return B.snippets(n, e, ["instance_id", "engine", "page_number"], ["source_order", "text"])
+
 
 
 QUERIES, SQL = query.queries, query.sql

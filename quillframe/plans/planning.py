@@ -77,38 +77,12 @@ def resume_stale(spark, d):
     return P.pending(wanted, done, "instance_id", "fingerprint")[1].select("instance_id").distinct()
 
 
-@query(sql("rec|k AS (SELECT engine, CAST(regexp_extract(file, 'shard-(\\d+)-of-(\\d+)', 1) AS INTEGER) AS shard, file FROM (SELECT engine, printf('%s/shard-%02d-of-04.jsonl', engine, ascii(right(instance_id, 1)) % 4) AS file FROM rec))",
-    "SELECT engine, shard, count(*) AS n, shard BETWEEN 0 AND 3 AS in_range, min(file) AS file FROM k GROUP BY 1, 2"))
-def cloud_merge_report(spark, d):
-    """Result files by name: shard index parsed back, bounds checked, records counted per shard."""
-    name = F.format_string("%s/shard-%02d-of-04.jsonl", "engine", F.ascii(F.right("instance_id", F.lit(1))) % 4)
-    r = inputs.records(spark, d).select("engine", name.alias("file")).withColumn("shard", F.regexp_extract("file", r"shard-(\d+)-of-(\d+)", 1).cast("int"))
-    return r.groupBy("engine", "shard").agg(F.count("*").alias("n"), F.col("shard").between(0, 3).alias("in_range"), F.min("file").alias("file"))
-
-
-@query(sql("t", f"SELECT source, count(*) AS n, sha256(string_agg(DISTINCT substr({_KEY}, 1, 8), ',' ORDER BY substr({_KEY}, 1, 8))) AS fingerprint FROM t WHERE input_pdf_sha256 IS NOT NULL AND source IS NOT NULL GROUP BY 1"))
-def fingerprints(spark, d):
-    """A fingerprint per source over the leading hash digits of its rows, gathered in buckets."""
-    t = inputs.tasks(spark, d).where("input_pdf_sha256 IS NOT NULL AND source IS NOT NULL")
-    short = F.substring(text_sha(F.lit(SEED), F.col("instance_id"), F.col("input_pdf_sha256")), 1, 8)
-    return t.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_set(short)), ","), 256).alias("fingerprint"))
-
-
 @query(sql("t", f"SELECT instance_id, substr(sha256('sample:' || instance_id), 1, 2) < '1a' AS sampled FROM t"))
 def hash_sample(spark, d):
     """A tenth of the rows by hash, the same in every run."""
     return inputs.tasks(spark, d).select("instance_id", (F.substring(F.sha2(F.concat(F.lit("sample:"), F.col("instance_id")), 256), 1, 2) < "1a").alias("sampled"))
 
 
-@query("""SELECT i AS n, CASE WHEN i % 10 = 0 THEN 'S3' WHEN i % 4 = 0 THEN 'S1' ELSE 'S0' END AS severity, printf('task_%06d', i) AS instance_id FROM (SELECT unnest(range(min(n_nationkey), max(n_nationkey) + 1)) AS i FROM nation)""")
-def review_shard_expand(spark, d):
-    """A compact review, an id range with a default and override groups, expanded to one row per id."""
-    n = table(spark, d, "nation").agg(F.min("n_nationkey").alias("lo"), F.max("n_nationkey").alias("hi"))
-    ids = n.select(F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("n"))
-    override = F.when(F.col("n") % 10 == 0, "S3").when(F.col("n") % 4 == 0, "S1")
-    return ids.select("n", F.coalesce(override, F.lit("S0")).alias("severity"), F.format_string("task_%06d", "n").alias("instance_id"))
-
-
 @query()
 def file_inventory(spark, d):
     """Names, sizes and hashes of the stored tables' files: every Parquet file below the data directory."""
@@ -164,5 +138,15 @@ def udtf_engine(spark, d):
 def record_projection(spark, d):
     return inputs.lines(spark, d).select("instance_id", "engine", "page_number", "source_order", F.coalesce("confidence_kind", F.lit("none")).alias("confidence_kind"), (F.col("bbox.left") + F.col("bbox.width")).alias("rgt"), (F.col("bbox.top") + F.col("bbox.height")).alias("bot"), F.col("bbox").isNull().alias("no_box"))
 
+@query(sql("t", f"""SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, ',' ORDER BY p)) AS fingerprint FROM
+ (SELECT source, substr(k, 1, 3) AS p, count(*) AS n, sha256(string_agg(k, ',' ORDER BY k)) AS h FROM (SELECT DISTINCT source, {_KEY} AS k FROM t WHERE input_pdf_sha256 IS NOT NULL AND source IS NOT NULL) GROUP BY 1, 2) GROUP BY 1"""))
+def fingerprints(spark, d):
+    """A fingerprint per source over the hashes of its rows: a tree of two levels, so no task holds a whole source."""
+    t = inputs.tasks(spark, d).where("input_pdf_sha256 IS NOT NULL AND source IS NOT NULL")
+    k = t.select("source", text_sha(F.lit(SEED), F.col("instance_id"), F.col("input_pdf_sha256")).alias("k")).distinct()
+    leaf = k.groupBy("source", F.substring("k", 1, 3).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda e: e["h"]), ",")
+    return leaf.groupBy("source").agg(F.sum("n").cast("long").alias("n"), F.sha2(joined, 256).alias("fingerprint"))
+
 
 QUERIES, SQL = query.queries, query.sql

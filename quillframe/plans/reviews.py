@@ -37,18 +37,6 @@ def review_violations(spark, d):
     return rules.violations(rows, ["instance_id"], R.review_rules())
 
 
-@query(sql("t rec|v AS (SELECT t.instance_id, rec.engine, t.user_query AS question_text, document_pdf AS pdf_path, pages FROM t JOIN rec USING (instance_id))",
-    _cases([
-        ("no_question", "coalesce(trim(question_text) = '', true)"),
-        ("unsafe_path", "pdf_path = '' OR regexp_matches(pdf_path, '^(/|\\\\|[A-Za-z]:)') OR regexp_matches(pdf_path, '(^|[/\\\\])\\.\\.([/\\\\]|$)') OR pdf_path IS NULL"),
-        ("no_pages", "coalesce(len(pages) < 1, true)"),
-    ], "instance_id, engine", "v")))
-def blind_question_violations(spark, d):
-    t = inputs.tasks(spark, d).select("instance_id", F.col("user_query").alias("question_text"), F.col("document_pdf").alias("pdf_path"))
-    rows = t.join(inputs.records(spark, d).select("instance_id", "engine", "pages"), "instance_id")
-    return rules.violations(rows, ["instance_id", "engine"], R.question_rules(F.lit(False)))
-
-
 @query(sql("b rec|g AS (SELECT instance_id, engine, list(block_id ORDER BY block_id) AS ids, count(CASE WHEN trim(text) = '' OR text IS NULL THEN 1 END) AS n_empty FROM (SELECT instance_id, engine, block_id, min(text) AS text FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2), v AS (SELECT g.*, rec.status FROM g LEFT JOIN rec ON g.instance_id = rec.instance_id AND g.engine = rec.engine)",
     _cases([
         ("ids_not_consecutive", "ids <> list_transform(range(1, len(ids) + 1), lambda x: printf('b%02d', x))"),
@@ -114,13 +102,6 @@ def edit_similarity_pairs(spark, d):
     return j.select("id", "block_id", F.round(T.similarity(T.char_distance(F.col("x"), F.col("y")), F.length("x"), F.length("y")), 6).alias("similarity"))
 
 
-@query(sql("t", "SELECT t.instance_id, d.doc_id FROM t JOIN documents d ON d.text = t.user_query"))
-def leak_gate(spark, d):
-    """Task queries that are a whole document of the training text."""
-    t = inputs.tasks(spark, d).where("user_query IS NOT NULL").select("instance_id", "user_query")
-    return t.join(table(spark, d, "documents").select("doc_id", "text"), F.col("user_query") == F.col("text")).select("instance_id", "doc_id")
-
-
 @query(sql("t", """SELECT instance_id, CAST(length(user_query) AS BIGINT) AS n_chars, CAST(len(list_filter(string_split_regex(user_query, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words,
  CAST(len(regexp_extract_all(user_query, '\\d+')) AS BIGINT) AS n_numbers FROM t WHERE user_query IS NOT NULL"""))
 def task_features(spark, d):
@@ -134,16 +115,50 @@ def evidence_in_order(spark, d):
     return inputs.labels(spark, d).where("evidence IS NOT NULL").select("instance_id", F.array_join(F.array_distinct("evidence"), ",").alias("evidence"))
 
 
-@query(sql("b", "SELECT instance_id, engine, block_id, min(text) AS text, count(*) AS n FROM b WHERE text IS NOT NULL AND block_id IS NOT NULL GROUP BY 1, 2, 3"))
-def dedupe_keep_first(spark, d):
-    b = inputs.blocks(spark, d).where("text IS NOT NULL AND block_id IS NOT NULL")
-    return b.groupBy("instance_id", "engine", "block_id").agg(F.min("text").alias("text"), F.count("*").alias("n"))
-
-
 @query("""SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(min(n_chars) AS BIGINT) AS least, CAST(max(n_chars) AS BIGINT) AS most, round(avg(n_chars), 4) AS mean, CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS middle FROM documents GROUP BY 1""")
 def describe_documents(spark, d):
     n = F.col("n_chars")
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 4).alias("mean"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars)").cast("long").alias("middle"))
 
+@query(sql("t rec|v AS (SELECT t.instance_id, rec.engine, t.user_query AS question_text, document_pdf AS pdf_path, pages, substr(sha256('field:' || t.instance_id), 1, 1) AS f FROM t JOIN rec USING (instance_id))",
+    _cases([
+        ("no_question", "coalesce(trim(question_text) = '', true)"),
+        ("unsafe_path", "pdf_path = '' OR regexp_matches(pdf_path, '^(/|\\\\|[A-Za-z]:)') OR regexp_matches(pdf_path, '(^|[/\\\\])\\.\\.([/\\\\]|$)') OR pdf_path IS NULL"),
+        ("no_pages", "coalesce(len(pages) < 1, true)"), ("label_field", "f IN ('0', '1')"),
+    ], "instance_id, engine", "v")))
+def blind_question_violations(spark, d):
+    """Blind questions with the names of their further fields, some of which give the label away."""
+    t = inputs.tasks(spark, d).select("instance_id", F.col("user_query").alias("question_text"), F.col("document_pdf").alias("pdf_path"))
+    f = F.substring(F.sha2(F.concat(F.lit("field:"), F.col("instance_id")), 256), 1, 1)
+    extra = F.when(f == "0", F.array(F.lit("answer"))).when(f == "1", F.array(F.lit("note"), F.lit("Evidence"))).when(f == "2", F.array(F.lit("note"))).otherwise(F.array())
+    rows = t.join(inputs.records(spark, d).select("instance_id", "engine", "pages"), "instance_id").withColumn("fields", extra.cast("array<string>"))
+    return rules.violations(rows, ["instance_id", "engine"], R.question_rules(R.gives_label_away(F.col("fields"))))
+
+
+@query(sql("t|c AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - row_number() OVER (ORDER BY instance_id, user_query), user_query FROM (SELECT DISTINCT instance_id, user_query FROM t WHERE substr(sha256('leak:' || instance_id), 1, 1) = '0' AND user_query IS NOT NULL))",
+    "SELECT t.instance_id, count(*) AS n_texts FROM t JOIN c ON c.text = t.user_query GROUP BY 1"))
+def leak_gate(spark, d):
+    """Task queries that are a whole text of the training corpus, to which every sixteenth query is added; texts meet by hash."""
+    t = inputs.tasks(spark, d).where("user_query IS NOT NULL").select("instance_id", "user_query")
+    planted = t.where(F.substring(F.sha2(F.concat(F.lit("leak:"), F.col("instance_id")), 256), 1, 1) == "0").distinct().select(F.col("user_query").alias("text"))
+    corpus = table(spark, d, "documents").select("text").where("text IS NOT NULL").unionByName(planted)
+    key = lambda c: (F.xxhash64(c).alias("h"), F.length(c).alias("n"))
+    # Only keys are shuffled widely: texts travel where a query has the same hash and length.
+    wanted = t.select(*key("user_query")).distinct()
+    hits = corpus.select("text", *key("text")).join(wanted, ["h", "n"], "left_semi")
+    joined = t.select("instance_id", "user_query", *key("user_query")).join(hits, ["h", "n"])
+    return joined.where(F.col("user_query") == F.col("text")).groupBy("instance_id").agg(F.count("*").alias("n_texts"))
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY instance_id, engine, block_id ORDER BY received_at NULLS LAST, text) AS i, count(*) OVER (PARTITION BY instance_id, engine, block_id) AS n FROM ocr_blocks WHERE text IS NOT NULL AND block_id IS NOT NULL)
+ SELECT instance_id, engine, block_id, text, n FROM k WHERE i = 1""")
+def dedupe_keep_first(spark, d):
+    """The first arrival of every block, without sorting: one ordered minimum per group."""
+    b = table(spark, d, "ocr_blocks").where("text IS NOT NULL AND block_id IS NOT NULL")
+    late = F.col("received_at").isNull()
+    first = F.min_by("text", F.struct(late.alias("late"), "received_at", "text"))
+    return b.groupBy("instance_id", "engine", "block_id").agg(first.alias("text"), F.count("*").alias("n"))
+
+
 
 QUERIES, SQL = query.queries, query.sql

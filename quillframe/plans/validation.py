@@ -130,14 +130,6 @@ def jsonl_strict_lines(spark, d):
     return t.where(bad).select("instance_id", (F.trim("line") == "").alias("blank"), F.length("line").cast("long").alias("n"))
 
 
-@query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\b\\d+(?:\\.\\d+)?%\\s*(?:improved|improvement|better|higher|lower|gain(?:ed)?|increase(?:d)?|decrease(?:d)?|accuracy|precision|recall)\\b')) AS BIGINT) AS n_claims,
- text LIKE '%percent%' AS has_percent FROM documents WHERE text IS NOT NULL""")
-def contract_checks(spark, d):
-    claim = r"(?i)(\b\d+(?:\.\d+)?%\s*(?:improved|improvement|better|higher|lower|gain(?:ed)?|increase(?:d)?|decrease(?:d)?|accuracy|precision|recall)\b)"
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(claim), 1)).cast("long").alias("n_claims"), F.col("text").contains("percent").alias("has_percent"))
-
-
 @query(sql("r|g AS (SELECT instance_id, count(*) AS n, count(DISTINCT model_index) AS k, min(model_index) AS lo, max(model_index) AS hi FROM r GROUP BY 1)",
     "SELECT instance_id, n, k = n AS unique_index, lo >= 1 AS starts_well, count(*) OVER (PARTITION BY n) AS n_like FROM g"))
 def group_uniformity(spark, d):
@@ -145,5 +137,26 @@ def group_uniformity(spark, d):
     sizes = g.groupBy("n").agg(F.count("*").alias("n_like"))  # a small table; a window over n would be one task per size
     return g.join(F.broadcast(sizes), "n").select("instance_id", "n", (F.col("k") == F.col("n")).alias("unique_index"), (F.col("lo") >= 1).alias("starts_well"), "n_like")
 
+#: Texts with a claim of each form, beside the stored documents.
+_CLAIMS = [(-1, "It is 12% better."), (-2, "12.5% 향상 후"), (-3, "Accuracy was 91"), (-4, "정확도는 91% 달성했다"), (-5, "측정 결과: 약 3.5 초"), (-6, "12 percent better, accuracy high"), (-7, "F1 reached 0.9 at last")]
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _sql_claim(pattern: str) -> str:
+    """The pattern for an engine whose word limits are those of ASCII."""
+    flag, rest = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    head, tail = rest.startswith(r"\b"), rest.endswith(r"\b")
+    rest = rest.removeprefix(r"\b").removesuffix(r"\b")
+    return flag + (f"(?:^|{_EDGE})" if head else "") + rest + (f"(?:$|{_EDGE})" if tail else "")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _CLAIMS)}))
+ SELECT doc_id, {", ".join(f"regexp_matches(text, '{_sql_claim(p)}') AS claim_{k}" for k, p in enumerate(rules.CLAIMS, 1))} FROM d""")
+def contract_checks(spark, d):
+    """Which forms of unproven claims a text makes."""
+    made = spark.createDataFrame(_CLAIMS, "doc_id long, text string")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text").unionByName(made)
+    return docs.select("doc_id", *[c.alias(f"claim_{k}") for k, c in enumerate(rules.claims(F.col("text")), 1)])
+
 
 QUERIES, SQL = query.queries, query.sql

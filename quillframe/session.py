@@ -56,6 +56,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillframe-checkpoint-"))
     elif folder and not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
@@ -64,5 +66,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; survives the loss of any executor."""
+    ship(df.sparkSession)
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

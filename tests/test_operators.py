@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import blocks as B
 from quillframe.operators import evaluate as E
+from quillframe.operators import merge
 from quillframe.operators import plan as P
 from quillframe.operators import rules as R
 from quillframe.operators import screen as S
@@ -122,7 +123,7 @@ def test_tags_and_severity(spark):
     q = "It moves at a rate of 10 boxes per hour, and each 30-minute interval covers 6. Unrelated words."
     row = spark.createDataFrame([(q,)], "q string").select(S.tags(F.col("q")).alias("t")).select("t", S.severity(F.col("t"), F.lit(False)).alias("s"), S.severity(F.col("t"), F.lit(True)).alias("c")).first()
     assert row.t == ["distractor_operand_interference", "rate_unit_relation_corruption"]
-    assert (row.s, row.c) == ("S2", "S4")
+    assert (row.s, row.c) == ("S3", "S4")
     sided = "An eight-sided die is rolled, but since a six-sided die is used instead, what changes?"
     assert spark.createDataFrame([(sided,)], "q string").select(S.tags(F.col("q"))).first()[0] == ["target_or_subquestion_drift"]
 
@@ -279,3 +280,36 @@ def test_command_line(capsys):
 
     assert main(["list"]) == 0 and "eval_micro_cer" in capsys.readouterr().out
     assert main(["run", "no_such_query", "x", "y"]) == 2
+
+
+@pytest.mark.parametrize("tag", ["rate_unit_relation_corruption", "target_or_subquestion_drift", "comparison_polarity_or_sign", "condition_insertion_or_deletion"])
+def test_any_grave_tag_is_s3(spark, tag):
+    df = spark.createDataFrame([([tag], False), ([tag, "quantifier_scope_last_remaining"], False), (["quantifier_scope_last_remaining"], False), ([], False), ([], True)], "t array<string>, c boolean")
+    assert [r.s for r in df.select(S.severity(F.col("t"), F.col("c")).alias("s")).collect()] == ["S3", "S3", "S2", "S0", "S4"]
+
+
+@pytest.mark.parametrize(
+    "text,reason",
+    [("", "empty_output"), ("  \n", "empty_output"), ("b01: " + "a" * 100 + "b" * 100, "valid"), ("x" + "a" * 200, "degenerate_repeated_character"), ("a" * 63, "no_b01_b23_blocks"), ("B23 : x", "valid"), ("b24: x", "no_b01_b23_blocks")],
+)
+def test_output_reason(spark, text, reason):
+    assert spark.createDataFrame([(text,)], "t string").select(B.output_reason(F.col("t"))).first()[0] == reason
+
+
+def test_reviews_over_a_screen(spark):
+    screened = spark.createDataFrame([("a", "S2", ["x"], "aligned", "5"), ("b", "S0", [], "label_unverifiable", None), ("c", "S2", ["x"], "aligned", "5")], "instance_id string, severity string, tags array<string>, alignment string, answer string")
+    reviews = spark.createDataFrame([("a", "S0", ["clean"], None, None), ("c", "S3", ["distractor"], "semantic_conflict", "5")], "instance_id string, severity string, tags array<string>, alignment string, value string")
+    out = {r.instance_id: (r.severity, r.tags, r.alignment, r.risk, r.disagrees) for r in merge.overlaid(screened, reviews).collect()}
+    assert out == {
+        "a": ("S0", ["clean"], "aligned", "none", False), "b": ("S0", ["clean"], "label_unverifiable", "none", False),
+        "c": ("S3", ["distractor_operand_interference", "x"], "semantic_conflict", "high", True),
+    }
+
+
+def test_a_sound_merge_has_no_violations(spark):
+    manifest = spark.createDataFrame([(f"t{i}", i % 2, "q", "s") for i in range(6)], "instance_id string, shard int, user_query string, pdf_sha string")
+    results = manifest.withColumn("status", F.lit("ok")).withColumn("configuration", F.lit("c"))
+    runs = spark.createDataFrame([(k, 3, 0, False, "1", "m", "r", "s") for k in (0, 1)], "shard int, record_count long, failed_count long, dirty boolean, schema_version string, machine string, revision string, manifest_sha string")
+    assert merge.merge_violations(manifest, results, runs, 2).count() == 0
+    lost = merge.merge_violations(manifest, results.where("shard = 0"), runs, 2)
+    assert {r.rule for r in lost.collect()} == {"missing_id", "shard_missing", "record_count_differs"}
