@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,18 +13,21 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import name_free
 
-#: Vocabulary of the byte-level tokenizer; a parameter of every operator that measures.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Vocabulary of the byte-level tokenizer, a parameter of every operator that measures; the variable sets another default.
+VOCABULARY = os.environ.get("QUILLFRAME_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+# Fixed value: how the public vocabulary's tokenizer splits a text before it merges bytes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @functools.cache
 def encoding(vocabulary: str):
-    import public_tokenizers
     import tiktoken
 
+    if not os.path.exists(vocabulary):
+        raise FileNotFoundError(f"no vocabulary at {vocabulary}: pass the path of a .tiktoken file that every worker has, or set QUILLFRAME_VOCABULARY")
     with open(vocabulary, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("sizes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillframe.llm import mixing, packing
 from quillframe.llm.queries import QUERIES
@@ -155,3 +156,24 @@ def test_inverse_of_the_poisson_distribution():
 def test_registered_queries_run(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert df.columns and df.count() >= 0
+
+
+@pytest.mark.parametrize("mean", [0.3, 30.0, 900.0, 20_000.0])
+def test_copies_of_any_mean_have_the_moments_of_its_distribution(mean):
+    u = (np.arange(200_000) + 0.5) / 200_000
+    n = mixing._copies(mean, 10**6, u)
+    assert n.mean() == pytest.approx(mean, rel=1e-3) and n.var() == pytest.approx(mean, rel=1e-2)
+    assert len(mixing.poisson(mean, 10**6)[1]) < 24 * math.sqrt(mean) + 100
+
+
+def test_caps_beyond_a_thousand_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a", "one two", 1, "k")] + [(i, "b", "word " * 400, 1, "k") for i in range(2, 40)], DOC)
+    mix = mixing.mixed(docs, targets(spark, [("m", "a", 1.0, 5_000), ("m", "b", 1.0, 1)]))
+    most = {r.source: (r.n, r.most) for r in mix.groupBy("source").agg(F.count("*").alias("n"), F.max("copy").alias("most")).collect()}
+    assert 1_000 < most["a"][1] <= 5_000 and most["b"][1] == 1
+
+
+def test_more_kinds_of_containers_than_a_thousand(spark):
+    docs = spark.createDataFrame([(1, "a", "one two", 1, "k")], DOC)
+    kinds = spark.range(1_200).select(F.concat(F.lit("k"), "id").alias("container_kind"), F.lit(8).alias("capacity_tokens"))
+    assert packing.packed(docs, kinds).select("container_kind").distinct().count() == 1_200
