@@ -50,6 +50,10 @@ def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_share(blocks, results, truncation.judged(blocks, results))
 
 
+def p4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.evidence_report(truncation.judged_by(table(spark, sf_dir, "ocr_blocks"), table(spark, sf_dir, "results")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "tasks"))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "p3_canonical": p3_canonical,
     "p4_found": p4_found,
     "p4_share": p4_share,
+    "p4_evidence": p4_evidence,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_packed": p6_packed,
