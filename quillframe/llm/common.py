@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillframe.operators.grouped import grouped
 from quillframe.session import cut, table
 
-__all__ = ["cut", "table", "grouped", "words", "histogram", "name_free", "salted_join"]
+__all__ = ["cut", "table", "grouped", "words", "histogram", "name_free", "once", "salted_join"]
 
 #: Buckets of every frequency sketch: the driver receives at most this many counters, whatever the input.
 SKETCH_BUCKETS = 65_536
@@ -46,3 +46,13 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = CELL_RO
     spread = left.join(heavy, key, "left").withColumn("_cell", F.pmod(F.xxhash64(*left.columns), cells).cast("int")).drop("_cells")
     every = right.join(heavy, key, "left").withColumn("_cell", F.explode(F.sequence(F.lit(0), cells - 1))).drop("_cells")
     return spread.join(every, [key, "_cell"]).drop("_cell")
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` without repeated rows, for tables that hardly have any: only keys and hashes of all rows are shuffled, and
+    only rows whose key has a repeat are compared as a whole."""
+    hashed = rows.groupBy(key, F.xxhash64(*rows.columns).alias("_h")).count()
+    repeated = cut(hashed.where("count > 1").select(key).distinct())
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").distinct())

@@ -1,12 +1,17 @@
 """Problem 8: garbled text from wrong character encoding.
 
 Method: every source is a channel that may have swapped code pages.  A swap (page the bytes were read with, page they
-were written in) is a substitution cipher from the characters seen to the letters meant; multi-byte pages substitute
-sequences.  Which ciphers a source uses is unknown and learned by expectation-maximisation: the E-step scores each run of
-non-ASCII characters under every swap by the character bigrams of the corpus, in the context of its neighbours, and
-weighs it by the source's present swap frequencies; the M-step re-estimates those frequencies.  The most likely swap of
-each run is then applied as a translation of the run.  The key space is the set of public code pages; a character table
-free of any code page cannot be told from noise on short runs.
+were written in) is a substitution cipher from the characters seen to the letters meant; of multi-byte pages, from
+sequences.  Which ciphers a source uses, and which letter each of its characters stands for, is unknown and learned by
+expectation-maximisation.  The E-step scores each run of non-ASCII characters under every swap by the character bigrams
+of the corpus, in the context of its neighbours, and weighs it by what the source's present table says; the M-step counts
+again, per source, the swaps and the table from characters to letters.  The most likely reading of each run is then
+applied as a translation of its characters.  Code pages only say which letters a character may stand for: a table free of
+any code page cannot be told from noise on short runs.
+
+The texts are read twice.  The first pass counts bigrams and the distinct runs with their neighbours, by source; all scores
+and all rounds of learning read this table of runs, and the bigrams are re-estimated from it as well.  The second pass
+finds the places of the runs that turned out garbled.
 
 Replacement signs are damage that nothing restores.  They are no case where the text only names the sign: alone between
 two words, in a slot where the corpus never has another non-ASCII character; nor is any sequence a case that stands
@@ -16,10 +21,12 @@ alone between quotation marks.
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import cut, name_free
+from quillframe.llm.common import cut, name_free, once
 
 #: Pages with which bytes may have been read wrongly, and pages in which they may have been written.
 READ_WITH = ("cp1252", "latin_1", "mac_roman", "cp1250", "cp1251", "cp850", "cp437", "cp949", "cp1254", "cp1253", "cp1257", "iso8859_2", "iso8859_15", "koi8_r", "cp852", "cp866", "mac_latin2", "gbk", "big5", "cp932")
@@ -93,6 +100,19 @@ def _unswap(text: str, read: str, written: str) -> str | None:
     return None if out == text else out
 
 
+def units(run: str, meant: str, number: int) -> list[tuple[str, str]]:
+    """(characters seen, letter meant) of a reading; one unit where a page reads several bytes as one character."""
+    read, written = (SWAPS[number - 1] if number <= len(SWAPS) else TWICE[number - 1 - len(SWAPS)][:2]) if number else ("", "")
+    if not number or number > len(SWAPS) or read in _MANY_BYTES:
+        return [(run, meant)] if number else [(c, c) for c in run]
+    out, at = [], 0
+    for letter in meant:
+        wide = len(letter.encode(written))
+        out.append((run[at : at + wide], letter))
+        at += wide
+    return out if at == len(run) else [(run, meant)]
+
+
 @functools.lru_cache(1 << 16)
 def readings(run: str) -> tuple[tuple[int, str], ...]:
     """(swap number, text meant) of every swap that could have made ``run``."""
@@ -134,10 +154,6 @@ def _slot(a: int, b: int) -> tuple[int, int]:
     return x >> 44, (x >> 20) & (SKETCH - 1)
 
 
-#: A character that only documents to be scored have; ASCII documents are counted but cannot be garbled.
-_OTHER = r"[^\x00-\x7F]"
-
-
 class Bigrams:
     """Character bigrams of the corpus as a count-min sketch: two rows of ``SKETCH`` counters and one for letters."""
 
@@ -178,53 +194,6 @@ class Bigrams:
         self.rows = self.rows.reshape(2, SKETCH)
 
 
-def plain_bigrams(documents: DataFrame) -> np.ndarray:
-    """The sketch of the bigrams of all ASCII documents, which no pass changes; counted in a table of 128 x 128."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 14, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                code = np.frombuffer(f" {text} \x00".encode("ascii"), np.uint8).astype(np.int32)
-                total += np.bincount((code[:-1] << 7) | code[1:], minlength=1 << 14)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
-
-    texts = _rows(documents).where(~F.col("text").rlike(_OTHER)).distinct().select("text")
-    counted = texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pair, n = (counted.column(c).to_numpy() for c in ("pair", "n"))
-    rows = np.zeros((2, SKETCH), np.int64)
-    for a, b in ((pair >> 7, pair & 127), (pair >> 7, np.full(len(pair), 0x1FFFFF))):
-        for row, at in zip(rows, _slots(a, b)):
-            np.add.at(row, at, n)
-    return rows
-
-
-def bigrams(texts: DataFrame, plain: np.ndarray) -> Bigrams:
-    """Bigram counts of ``texts`` and of those counted in ``plain``; what reaches the driver is bounded by the sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.zeros((2, SKETCH), np.int64)
-        for batch in batches:
-            # One text a line, with a blank on either side; a batch is counted as a whole.
-            whole = "".join(f" {text} \x00" for text in batch.column(0).to_pylist())
-            code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-            if len(code) < 2:
-                continue
-            for a, b in ((code[:-1], code[1:]), (code[:-1], np.full(len(code) - 1, 0x1FFFFF, np.uint32))):
-                for row, at in zip(rows, _slots(a, b)):
-                    where, n = np.unique(at, return_counts=True)
-                    row[where] += n
-        for r, row in enumerate(rows):
-            at = np.nonzero(row)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(at + r * SKETCH), pa.array(row[at])], ["slot", "n"])
-
-    counted = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    rows = np.zeros(2 * SKETCH, np.int64)
-    rows[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    return Bigrams(rows.reshape(2, SKETCH) + plain)
-
-
 def _quoted(text: str, start: int, end: int) -> bool:
     return 0 < start and end < len(text) and text[start - 1] in _QUOTES[0] and text[end] in _QUOTES[1]
 
@@ -255,131 +224,234 @@ def _alone(text: str, start: int, end: int) -> tuple[str, str] | None:
     return _shape((before.split() or [""])[-1]), _shape((after.split() or [""])[0])
 
 
-def slots_of_letters(texts: DataFrame) -> DataFrame:
-    """(slot_a, slot_b): word shapes around lone non-ASCII characters other than the replacement sign."""
+def key_of(*parts: str | None) -> int:
+    """A 64-bit number of a run with its source, neighbours and slot."""
+    data = "\x00".join("\x01" if p is None else p for p in parts).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for m in re.finditer(r"(?<!\S)[^\x00-\x7f](?!\S)", text):
-                    if m.group() != SIGN and (slot := _alone(text, *m.span())):
-                        seen.add(slot)
-            if len(seen) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in seen], pa.string()) for i in (0, 1)], ["slot_a", "slot_b"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in seen], pa.string()) for i in (0, 1)], ["slot_a", "slot_b"])
 
-    return texts.select("text").mapInArrow(run, "slot_a string, slot_b string").distinct()
+def runs_of(source: str, text: str, memo: dict) -> Iterator[tuple[int, int, int, tuple]]:
+    """(start, stop, key, (source, before, piece, after, slot_a, slot_b)) of the runs of a text that may be garbled."""
+    for a, b in _stretches(text):
+        if _quoted(text, a, b):
+            continue
+        piece = text[a:b]
+        slot = _alone(text, a, b) if piece == SIGN else None
+        kind = (source, text[a - 1] if a else " ", piece, text[b] if b < len(text) else " ", *(slot or (None, None)))
+        if (key := memo.get(kind)) is None:
+            key = key_of(*kind) if SIGN in piece or readings(piece) else 0
+            if len(memo) < 1 << 18:
+                memo[kind] = key
+        if key:
+            yield a, b, key, kind
 
 
-def judged_signs(runs: DataFrame, slots: DataFrame) -> DataFrame:
-    """Scored runs without the lone replacement signs whose slot never holds a letter: those are only named."""
-    lone = runs.where("slot_a IS NOT NULL").join(slots, ["slot_a", "slot_b"], "left_semi")
-    return runs.where("slot_a IS NULL").unionByName(lone).drop("slot_a", "slot_b")
+_SEEN = "kind int, key long, source string, before string, piece string, after string, slot_a string, slot_b string, n long"
+RUNS, COUNTS, SLOTS = 0, 1, 2
+FLUSH = 200_000
 
 
-def scored_runs(documents: DataFrame, model: Bigrams) -> DataFrame:
-    """(doc_id, source, start, stop, lost, swaps, scores, slot_a, slot_b): runs some swap explains, and replacement signs.
+def seen(documents: DataFrame) -> DataFrame:
+    """The first pass, as one table: distinct runs of a source with their neighbours and number (kind ``RUNS``), counters of
+    the bigram sketch (``COUNTS``, ``key`` is the slot), and the word shapes around lone non-ASCII characters (``SLOTS``)."""
+    names = [f.split()[0] for f in _SEEN.split(", ")]
+    types = [pa.int32(), pa.int64(), *[pa.string()] * 6, pa.int64()]
 
-    A sign that stands alone has its slot; whether it is damage is for :func:`judged_signs`.
-    """
-    schema = "doc_id long, source string, start int, stop int, lost boolean, swaps array<int>, scores array<double>, slot_a string, slot_b string"
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, str, str], tuple | None] = {}
-
-        def weigh(before: str, text: str, after: str):
-            key = (before, text, after)
-            if key in memo:
-                return memo[key]
-            own = model.score(before + text + after)
-            best: dict[int, float] = {0: own}
-            for swap, meant in readings(text):
-                score = model.score(before + meant + after)
-                if score > own - 5:
-                    best[swap] = max(score, best.get(swap, -math.inf))
-            out = (list(best), list(best.values())) if len(best) > 1 else None
-            if len(memo) < 1 << 18:
-                memo[key] = out
-            return out
+        rows = np.zeros((2, SKETCH), np.int64)
+        plain = np.zeros(1 << 14, np.int64)
+        found: Counter[tuple] = Counter()
+        slots: set[tuple[str, str]] = set()
+        memo: dict[tuple, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = [(RUNS, key, *kind, n) for (key, kind), n in found.items()] + [(SLOTS, key_of(*s), None, None, None, None, *s, 1) for s in slots]
+            found.clear(), slots.clear()
+            return table(out)
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for doc_id, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for a, b in _stretches(text):
-                    if _quoted(text, a, b):
-                        continue
-                    piece = text[a:b]
-                    lost, slot, found = False, None, None
-                    if SIGN in piece:
-                        slot = _alone(text, a, b) if piece == SIGN else None
-                        lost = True
-                    else:
-                        found = weigh(text[a - 1] if a else " ", piece, text[b] if b < len(text) else " ")
-                    if lost or found:
-                        for column, value in zip(out, (doc_id, source, a, b, lost, *(found or ([], [])), *(slot or (None, None)))):
-                            column.append(value)
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "source", "start", "stop", "lost", "swaps", "scores", "slot_a", "slot_b"])
-
-    return documents.select("doc_id", "source", "text").mapInArrow(run, schema)
+            whole = []
+            for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
+                if text.isascii():
+                    code = np.frombuffer(f" {text} \x00".encode("ascii"), np.uint8).astype(np.int32)
+                    plain += np.bincount((code[:-1] << 7) | code[1:], minlength=1 << 14)
+                    continue
+                # One text a line, with a blank on either side; a batch is counted as a whole.
+                whole.append(f" {text} \x00")
+                for _, _, key, kind in runs_of(source, text, memo):
+                    found[key, kind] += 1
+                for m in re.finditer(r"(?<!\S)[^\x00-\x7f](?!\S)", text):
+                    if m.group() != SIGN and (slot := _alone(text, *m.span())):
+                        slots.add(slot)
+            code = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+            if len(code) > 1:
+                for a, b in ((code[:-1], code[1:]), (code[:-1], np.full(len(code) - 1, 0x1FFFFF, np.uint32))):
+                    for row, at in zip(rows, _slots(a, b)):
+                        row += np.bincount(at, minlength=SKETCH)
+            if len(found) > FLUSH:
+                yield flush()
+        pair = np.nonzero(plain)[0]
+        for a, b in ((pair >> 7, pair & 127), (pair >> 7, np.full(len(pair), 0x1FFFFF))):
+            for row, at in zip(rows, _slots(a, b)):
+                np.add.at(row, at, plain[pair])
+        yield flush()
+        at = np.nonzero(rows.ravel())[0]
+        empty = pa.nulls(len(at), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), COUNTS, np.int32)), pa.array(at), *[empty] * 6, pa.array(rows.ravel()[at])], names)
+
+    first = [F.first(c).alias(c) for c in names[2:-1]]
+    return once(_rows(documents), "doc_id").select("source", "text").mapInArrow(run, _SEEN).groupBy("kind", "key").agg(*first, F.sum("n").alias("n"))
+
+
+def counters(table: DataFrame) -> np.ndarray:
+    """The bigram sketch of (key, n); what reaches the driver is bounded by the sketch."""
+    counted = table.select("key", "n").toArrow()
+    rows = np.zeros(2 * SKETCH, np.int64)
+    rows[counted.column("key").to_numpy()] = counted.column("n").to_numpy()
+    return rows.reshape(2, SKETCH)
+
+
+def scored(runs: DataFrame, model: Bigrams) -> DataFrame:
+    """(key, source, before, piece, after, n, swaps, scores): runs that some swap explains about as well as none."""
+    names = ["key", "source", "before", "piece", "after", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, swaps, scores = [], [], []
+            for i, (before, text, after) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("before", "piece", "after")))):
+                own = model.score(before + text + after)
+                best: dict[int, float] = {0: own}
+                for swap, meant in readings(text):
+                    score = model.score(before + meant + after)
+                    if score > own - 5:
+                        best[swap] = max(score, best.get(swap, -math.inf))
+                if len(best) > 1:
+                    keep.append(i), swaps.append(list(best)), scores.append(list(best.values()))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names], pa.array(swaps, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64()))], [*names, "swaps", "scores"])
+
+    return runs.select(*names).mapInArrow(run, "key long, source string, before string, piece string, after string, n long, swaps array<int>, scores array<double>")
 
 
 def channel(source: str) -> int:
     return zlib.crc32(source.encode("utf-8", "surrogatepass")) % CHANNELS
 
 
-def learned(runs: DataFrame, rounds: int = ROUNDS) -> dict[int, dict[int, float]]:
-    """Log share of every swap in every source (by channel), by expectation-maximisation over the scored runs."""
-    shares: dict[int, dict[int, float]] = {}
+#: Counters of the tables from characters to letters, over all sources: the driver holds at most these.
+LETTERS = 1 << 20
+
+
+def _letter(at: int, seen_: str, meant: str | None) -> int:
+    return zlib.crc32(f"{at}\x00{seen_}\x00{meant}".encode("utf-8", "surrogatepass")) % LETTERS
+
+
+class Channels:
+    """What the sources do: per channel the share of every swap, and how often a character stands for a letter."""
+
+    def __init__(self) -> None:
+        self.shares: dict[int, dict[int, float]] = {}
+        self.letters: dict[int, float] = {}
+
+    def prior(self, source: str, run: str, number: int, meant: str) -> float:
+        """Log weight of a reading: the share of its swap, and once letters are counted no more than the mean of its letters'
+        log weights. A letter alone proves no swap: read for itself, chance likeness of rare words would feed itself."""
+        at = channel(source)
+        share = self.shares.get(at)
+        swap = share[number] if share else (0.0 if number == 0 else math.log(START))
+        if not self.letters:
+            return swap
+        parts = units(run, meant, number)
+        weight = math.exp(swap)
+        total = 0.0
+        for seen_, letter in parts:
+            # A letter the table does not know yet is as likely as its swap.
+            both, alone = self.letters.get(_letter(at, seen_, letter), 0.0), self.letters.get(_letter(at, seen_, None), 0.0)
+            total += math.log((min(both, alone) + weight) / (alone + 1))
+        return min(swap, total / len(parts)) if number else swap
+
+    def posterior(self, source: str, run: str, swaps: list[int], scores: list[float]) -> tuple[list[float], list[str]]:
+        meant = dict(readings(run))
+        texts = [run if k == 0 else meant[k] for k in swaps]
+        logs = [s + self.prior(source, run, k, t) for k, s, t in zip(swaps, scores, texts)]
+        top = max(logs)
+        weights = [math.exp(x - top) for x in logs]
+        return [w / sum(weights) for w in weights], texts
+
+
+def learned(runs: DataFrame, rounds: int = ROUNDS) -> Channels:
+    """Swaps and letters of every source, by expectation-maximisation over the scored runs and their numbers."""
+    state = Channels()
     for _ in range(rounds):
-        now = shares
 
-        def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterator[pa.RecordBatch], now: Channels = state) -> Iterator[pa.RecordBatch]:
             total: dict[tuple[int, int], float] = {}
             for batch in batches:
-                for source, swaps, scores in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for source, run, n, swaps, scores in zip(*(batch.column(c).to_pylist() for c in ("source", "piece", "n", "swaps", "scores"))):
                     at = channel(source)
-                    for swap, weight in zip(swaps, posterior(now.get(at), swaps, scores)):
+                    weights, texts = now.posterior(source, run, swaps, scores)
+                    for swap, weight, text in zip(swaps, weights, texts):
+                        weight *= n
                         total[at, swap] = total.get((at, swap), 0.0) + weight
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.float64())], ["channel", "swap", "w"])
-
-        rows = runs.where("NOT lost").select("source", "swaps", "scores").mapInArrow(step, "channel int, swap int, w double").groupBy("channel", "swap").agg(F.sum("w").alias("w")).collect()
-        shares = {}
+                        for seen_, letter in units(run, text, swap) if weight > 1e-6 else ():
+                            for slot in ((-1, _letter(at, seen_, letter)), (-1, _letter(at, seen_, None))):
+                                total[slot] = total.get(slot, 0.0) + weight
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.float64())], ["channel", "slot", "w"])
+
+        columns = ["source", "piece", "n", "swaps", "scores"]
+        rows = runs.select(*columns).mapInArrow(step, "channel int, slot int, w double").groupBy("channel", "slot").agg(F.sum("w").alias("w")).toArrow()
+        state = Channels()
         per: dict[int, dict[int, float]] = {}
-        for r in rows:
-            per.setdefault(r.channel, {})[r.swap] = r.w
+        for at, slot, w in zip(*(rows.column(c).to_pylist() for c in ("channel", "slot", "w"))):
+            if at < 0:
+                state.letters[slot] = w
+            else:
+                per.setdefault(at, {})[slot] = w
         for at, own in per.items():
             whole = sum(own.values()) + len(LABELS) * START
-            shares[at] = {s: math.log((own.get(s, 0.0) + START) / whole) for s in range(len(LABELS))}
-    return shares
+            state.shares[at] = {s: math.log((own.get(s, 0.0) + START) / whole) for s in range(len(LABELS))}
+    return state
 
 
-def posterior(share: dict[int, float] | None, swaps: list[int], scores: list[float]) -> list[float]:
-    logs = [s + (share[k] if share else (0.0 if k == 0 else math.log(START))) for k, s in zip(swaps, scores)]
-    top = max(logs)
-    weights = [math.exp(x - top) for x in logs]
-    return [w / sum(weights) for w in weights]
+def chosen(runs: DataFrame, state: Channels) -> DataFrame:
+    """(key, swap, before, piece, after, meant, n) of the scored runs that are garbled; ``meant`` is their translation."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pick, meant = [], []
+            for source, piece, swaps, scores in zip(*(batch.column(c).to_pylist() for c in ("source", "piece", "swaps", "scores"))):
+                p, texts = state.posterior(source, piece, swaps, scores)
+                best = p.index(max(p))
+                parts = units(piece, texts[best], swaps[best])
+                single = all(len(s) == 1 for s, _ in parts)
+                pick.append(swaps[best])
+                meant.append(piece.translate({ord(s): t for s, t in parts}) if single else "".join(t for _, t in parts))
+            swap = pa.array(pick, pa.int32())
+            columns = [batch.column("key"), swap, *[batch.column(c) for c in ("before", "piece", "after")], pa.array(meant, pa.string()), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "swap", "before", "piece", "after", "meant", "n"]).filter(pa.compute.not_equal(swap, 0))
+
+    return runs.mapInArrow(run, "key long, swap int, before string, piece string, after string, meant string, n long")
 
-def chosen(runs: DataFrame, shares: dict[int, dict[int, float]]) -> DataFrame:
-    """(doc_id, start, stop, lost, swap) of the runs that are garbled."""
+
+def corrections(garbled: DataFrame) -> np.ndarray:
+    """What the bigram sketch changes by when garbled runs are read as meant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[int] = Counter()
         for batch in batches:
-            pick = []
-            for source, lost, swaps, scores in zip(*(batch.column(c).to_pylist() for c in ("source", "lost", "swaps", "scores"))):
-                if lost:
-                    pick.append(-1)
-                else:
-                    p = posterior(shares.get(channel(source)), swaps, scores)
-                    pick.append(swaps[p.index(max(p))])
-            swap = pa.array(pick, pa.int32())
-            out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "stop", "lost")] + [swap], ["doc_id", "start", "stop", "lost", "swap"])
-            yield out.filter(pa.compute.not_equal(swap, 0))
+            for before, piece, after, meant, n in zip(*(batch.column(c).to_pylist() for c in ("before", "piece", "after", "meant", "n"))):
+                for text, sign in ((before + piece + after, -n), (before + meant + after, n)):
+                    for x, y in itertools.pairwise(text):
+                        for slots in (_slot(ord(x), ord(y)), _slot(ord(x), 0x1FFFFF)):
+                            for r, slot in enumerate(slots):
+                                total[r * SKETCH + slot] += sign
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["key", "n"])
 
-    return runs.mapInArrow(run, "doc_id long, start int, stop int, lost boolean, swap int")
+    rows = garbled.select("before", "piece", "after", "meant", "n").mapInArrow(run, "key long, n long")
+    return counters(rows.groupBy("key").agg(F.sum("n").alias("n")))
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -388,47 +460,62 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def _candidates(documents: DataFrame) -> DataFrame:
-    return _rows(documents).where(F.col("text").rlike(_OTHER)).distinct()
+    return _rows(documents).where(F.octet_length("text") > F.char_length("text"))
 
 
-def translated(texts: DataFrame, runs: DataFrame, how: str) -> DataFrame:
-    """(doc_id, text, n_runs, n_lost, restored): texts with every garbled run translated that lost nothing."""
-    per = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "swap"))).alias("runs"))
-    joined = texts.select("doc_id", "text").join(per, "doc_id", how)
+def garbled_kinds(documents: DataFrame) -> DataFrame:
+    """(key, swap, meant): every garbled kind of run of a source; damage that lost something has swap -1 and no meaning."""
+    table = cut(seen(documents))
+    runs = table.where(f"kind = {RUNS}")
+    lost = F.instr("piece", SIGN) > 0
+    rows = counters(table.where(f"kind = {COUNTS}"))
+    texts = scored(runs.where(~lost), Bigrams(rows))
+    texts = cut(texts)
+    # The bigrams are re-estimated once from the runs as the first rounds read them, so that common garbling does not
+    # pass as language.
+    rows = np.maximum(rows + corrections(chosen(texts, learned(texts))), 0)
+    texts = cut(scored(runs.where(~lost), Bigrams(rows)))
+    found = chosen(texts, learned(texts)).select("key", "swap", "meant")
+    # A lone sign whose slot never holds a letter is only named.
+    slots = table.where(f"kind = {SLOTS}").select("slot_a", "slot_b").distinct()
+    signs = runs.where(lost)
+    damage = signs.where("slot_a IS NULL").select("key").unionAll(signs.where("slot_a IS NOT NULL").join(slots, ["slot_a", "slot_b"], "left_semi").select("key"))
+    return cut(found.unionByName(damage.select("key", F.lit(-1).alias("swap"), F.lit(None).cast("string").alias("meant"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_text, counts, lost = [], [], []
-            for text, pieces in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                out, at, gone = [], 0, 0
-                for piece in pieces or []:
-                    meant = None
-                    if piece["swap"] > 0:
-                        meant = dict(readings(text[piece["start"] : piece["stop"]])).get(piece["swap"])
-                    gone += meant is None
-                    out += [text[at : piece["start"]], text[piece["start"] : piece["stop"]] if meant is None else meant]
-                    at = piece["stop"]
-                out_text.append("".join([*out, text[at:]]))
-                counts.append(len(pieces or []))
-                lost.append(gone)
-            arrays = [batch.column("doc_id"), pa.array(out_text, pa.string()), pa.array(counts, pa.int32()), pa.array(lost, pa.int32()), pa.array([x == 0 for x in lost], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "n_runs", "n_lost", "restored"])
 
-    return joined.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, text string, n_runs int, n_lost int, restored boolean")
+#: Bits of the filter on which the second pass keeps runs; what passes is joined exactly.
+FILTER = 1 << 22
 
 
 def garbled_runs(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, lost, swap): every garbled run of every document, with the swap that made it.
+    """(doc_id, text_id, source, start, stop, lost, swap, meant): every garbled run of every document.
 
-    The bigrams are re-estimated once from the texts as the first pass restores them, so that common garbling does not
-    pass as language.
+    ``text_id`` tells the texts of a document with several rows apart.
     """
-    texts = _candidates(documents)
-    slots, ascii_ = slots_of_letters(texts), plain_bigrams(documents)
-    runs = cut(judged_signs(scored_runs(texts, bigrams(texts, ascii_)), slots))
-    plain = translated(texts, chosen(runs, learned(runs)), "left")
-    runs = cut(judged_signs(scored_runs(texts, bigrams(plain, ascii_)), slots))
-    return chosen(runs, learned(runs))
+    kinds = garbled_kinds(documents)
+    bits = np.zeros(FILTER // 8, np.uint8)
+    # At most one row for each byte of the filter.
+    byte = F.floor(F.pmod("key", F.lit(FILTER)) / 8).cast("int")
+    for b, v in kinds.groupBy(byte.alias("b")).agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(key, 8) as int))")).alias("v")).collect():
+        bits[b] = v
+    schema = "doc_id long, text_id long, source string, start int, stop int, key long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple, int] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, text_id, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "source", "text"))):
+                for a, b, key, _ in runs_of(source, text, memo):
+                    at = key % FILTER
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        out.append((doc_id, text_id, source, a, b, key))
+            columns = list(zip(*out)) if out else [[] for _ in range(6)]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in schema.split(", ")])
+
+    placed = _candidates(documents).withColumn("text_id", F.xxhash64("text")).select("doc_id", "text_id", "source", "text").mapInArrow(run, schema)
+    joined = placed.join(kinds, "key").distinct()
+    return joined.select("doc_id", "text_id", "source", "start", "stop", (F.col("swap") < 0).alias("lost"), "swap", "meant")
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
@@ -439,12 +526,33 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
 
 def restored_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, text, n_runs, n_lost, restored): garbled documents with every run translated that lost nothing."""
-    return translated(_candidates(documents), garbled_runs(documents), "inner")
+    runs = garbled_runs(documents)
+    per = runs.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "meant"))).alias("runs"))
+    texts = _candidates(documents).select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    # Texts are shuffled only if they are garbled.
+    hit = texts.join(per.select("doc_id", "text_id"), ["doc_id", "text_id"], "left_semi").dropDuplicates(["doc_id", "text_id"])
+    joined = hit.join(per, ["doc_id", "text_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_text, counts, lost = [], [], []
+            for text, pieces in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+                out, at = [], 0
+                for piece in pieces:
+                    start, stop, meant = piece["start"], piece["stop"], piece["meant"]
+                    out += [text[at:start], text[start:stop] if meant is None else meant]
+                    at = stop
+                out_text.append("".join([*out, text[at:]]))
+                counts.append(len(pieces))
+                lost.append(sum(p["meant"] is None for p in pieces))
+            arrays = [batch.column("doc_id"), pa.array(out_text, pa.string()), pa.array(counts, pa.int32()), pa.array(lost, pa.int32()), pa.array([x == 0 for x in lost], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "n_runs", "n_lost", "restored"])
+
+    return joined.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, text string, n_runs int, n_lost int, restored boolean")
 
 
 def swaps_by_source(documents: DataFrame) -> DataFrame:
     """(source, swap, n_runs, n_documents): the code-page swaps found in every source; ``lost`` for replacement signs."""
-    runs = garbled_runs(documents).join(_candidates(documents).select("doc_id", "source"), "doc_id")
     names = F.array(*[F.lit(x) for x in LABELS])
     label = F.when(F.col("swap") < 0, F.lit("lost")).otherwise(F.get(names, F.col("swap")))
-    return runs.groupBy("source", label.alias("swap")).agg(F.count("*").alias("n_runs"), F.countDistinct("doc_id").alias("n_documents"))
+    return garbled_runs(documents).groupBy("source", label.alias("swap")).agg(F.count("*").alias("n_runs"), F.countDistinct("doc_id").alias("n_documents"))

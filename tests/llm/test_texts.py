@@ -123,6 +123,15 @@ def test_garbled(spark):
     restored = {r.doc_id: (r.text, r.restored) for r in garbled.restored_documents(documents).collect()}
     exact = sum(restored[k] == (t, True) for k, t in hurt.items())
     assert exact >= 0.9 * len(hurt)
+    swaps = {r.swap: r.n_documents for r in garbled.swaps_by_source(documents).collect() if r.source == "b"}
+    assert swaps["lost"] == 1 and swaps["cp1252>utf_8"] >= 5 and swaps["cp1251>utf_8"] >= 5
+
+
+@pytest.mark.parametrize("run,number", [(run, number) for run in ("Ã©", "Ã¤Ã¶", "â‚¬", "쨀", "é", "Ð¿Ñ€") for number, _ in garbled.readings(run)])
+def test_units_make_up_a_reading(run, number):
+    meant = dict(garbled.readings(run))[number]
+    parts = garbled.units(run, meant, number)
+    assert "".join(s for s, _ in parts) == run and "".join(t for _, t in parts) == meant
     assert restored[2_005][1] is False
 
 
@@ -236,8 +245,8 @@ def test_lengths_tell_cut_headings_and_abbreviations(spark):
 
 
 def test_bigrams_are_counted_over_all_documents(spark, monkeypatch):
-    seen, real = [], garbled.scored_runs
-    monkeypatch.setattr(garbled, "scored_runs", lambda texts, counts: (seen.append(counts), real(texts, counts))[1])
+    seen, real = [], garbled.scored
+    monkeypatch.setattr(garbled, "scored", lambda runs, counts: (seen.append(counts), real(runs, counts))[1])
     rows = [(1, "a", "qz caf\u00e9 qz"), (2, "a", "qz plain"), (2, "a", "qz plain"), (3, None, "qzqz"), (4, "b", ""), (5, "b", None), (None, "b", "qz")]
     garbled.garbled_runs(spark.createDataFrame(rows, "doc_id long, source string, text string"))
     count = lambda b, x, y: min(b.rows[r][at] for r, at in enumerate(garbled._slot(ord(x), ord(y))))
