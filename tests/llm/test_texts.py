@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -124,7 +125,9 @@ def test_garbled(spark):
     exact = sum(restored[k] == (t, True) for k, t in hurt.items())
     assert exact >= 0.9 * len(hurt)
     swaps = {r.swap: r.n_documents for r in garbled.swaps_by_source(documents).collect() if r.source == "b"}
-    assert swaps["lost"] == 1 and swaps["cp1252>utf_8"] >= 5 and swaps["cp1251>utf_8"] >= 5
+    assert swaps["lost"] == 1
+    planted = Counter((k - 1_000) % 5 for k in hurt)
+    assert swaps["cp1252>utf_8"] >= 0.9 * planted[0] and swaps["cp1251>utf_8"] >= 0.9 * planted[4]
 
 
 @pytest.mark.parametrize("run,number", [(run, number) for run in ("Ã©", "Ã¤Ã¶", "â‚¬", "쨀", "é", "Ð¿Ñ€") for number, _ in garbled.readings(run)])
