@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.boost import Boosted
 from quillframe.llm.canon import transducer
-from quillframe.llm.common import SKETCH_BUCKETS, cut, grouped, histogram, name_free
+from quillframe.llm.common import SKETCH_BUCKETS, cut, grouped, histogram, name_free, salted_join
 from quillframe.llm.noise import DIGIT_LETTERS, confusions, fold
 
 PAGES = 8
@@ -41,6 +42,8 @@ GRAM = 3
 #: Distance, in folded characters, within which candidates are retrieved.
 DISTANCE = 1
 FLUSH = 400_000
+#: Bits of the filter over the words that do not travel, so that a broken one among them is looked up.
+FILTER = 1 << 20
 
 _MARKER = re.compile(r"^\W{0,2}([bB8])([0OoQ]?[\dOolI|SsZ]{1,2})(?:[\])>][:.]?|[:.)])(?:\s+|$)")
 _OPENERS = frozenset("bB8[<({ ")
@@ -152,16 +155,19 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = [fold(word) for word in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.string())], ["word", "n", "folded"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("word", "n", "all")], pa.array(f, pa.string())], ["word", "n", "all", "folded"])
 
-    folded = cut(words.where("n > 0").select("word", "n").mapInArrow(spread, "word string, n long, folded string"))
+    # A word seen only in the first lines of pages may be a misreading too, but only body lines show what is meant.
+    head = F.coalesce("first", F.lit(0)) if "first" in words.columns else F.lit(0)
+    counted = words.select("word", F.col("n"), (F.col("n") + head).alias("all"))
+    folded = cut(counted.where("all > 0").mapInArrow(spread, "word string, n long, all long, folded string"))
 
     def all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([g for f in batch.column(0).to_pylist() for g in set(_grams(f))], pa.string())], ["gram"])
 
     counts = histogram(folded.select("folded").mapInArrow(all_grams, "gram string").select(F.xxhash64("gram").alias("gram")), "gram")
-    ranks = folded.select("word", "n", "folded", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("folded") + 2 - GRAM)), lambda i: F.substring(F.concat(F.lit("^"), F.col("folded"), F.lit("$")), i + 1, F.lit(GRAM))).alias("grams"))
+    ranks = folded.select("word", "n", "all", "folded", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("folded") + 2 - GRAM)), lambda i: F.substring(F.concat(F.lit("^"), F.col("folded"), F.lit("$")), i + 1, F.lit(GRAM))).alias("grams"))
     hashed = ranks.withColumn("grams", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))))
     size = F.length("folded")
     less = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size)), lambda i: F.concat(F.substring(F.col("folded"), F.lit(1), i - 1), F.substring(F.col("folded"), i + 1, size)))
@@ -175,13 +181,14 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
                 for g in sorted(grams, key=lambda g: (counts[g % SKETCH_BUCKETS], g))[: GRAM * DISTANCE + 1] + (short or []):
                     take.append(i), gram.append(g)
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), *[batch.column(c).take(at) for c in ("word", "n", "folded")]], ["gram", "word", "n", "folded"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), *[batch.column(c).take(at) for c in ("word", "n", "all", "folded")]], ["gram", "word", "n", "all", "folded"])
 
-    index = hashed.mapInArrow(rarest, "gram long, word string, n long, folded string")
-    seen = index.select("gram", F.col("word").alias("seen"), F.col("n").alias("seen_n"), F.col("folded").alias("seen_f"))
+    index = hashed.mapInArrow(rarest, "gram long, word string, n long, all long, folded string")
+    seen = index.select("gram", F.col("word").alias("seen"), F.col("all").alias("seen_n"), F.col("folded").alias("seen_f"))
     meant = index.where(F.col("n") >= RATIO).select("gram", F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.col("folded").alias("meant_f"))
     near = (F.col("meant_n") >= RATIO * F.col("seen_n")) & (F.abs(F.length("seen_f") - F.length("meant_f")) <= DISTANCE)
-    pairs = seen.join(meant, "gram").where(near).where((F.col("seen_f") == F.col("meant_f")) | (F.levenshtein("seen_f", "meant_f", DISTANCE) >= 0))
+    # A gram of very many words is dealt into cells, see salted_join.
+    pairs = salted_join(meant, seen, "gram").where(near).where((F.col("seen_f") == F.col("meant_f")) | (F.levenshtein("seen_f", "meant_f", DISTANCE) >= 0))
     return pairs.select("seen", "seen_n", "meant", "meant_n").distinct()
 
 
@@ -252,8 +259,9 @@ def ranked(pairs: DataFrame, model: Boosted) -> DataFrame:
 class Lexicon:
     """The part of the vocabulary that travels: counts of sound words, and how strongly a word marks furniture."""
 
-    def __init__(self, counts: dict[str, int], edge: dict[str, float], least: int) -> None:
+    def __init__(self, counts: dict[str, int], edge: dict[str, float], least: int, others: np.ndarray | None = None) -> None:
         self.counts, self.edge, self.least = counts, edge, least
+        self.others = others
         self.order = sorted(counts)
         marks = [w for w, v in edge.items() if v > 1.5]
         self.marks = frozenset(x for w in marks for x in (w, w.upper(), w.capitalize(), w.capitalize().swapcase()))
@@ -266,10 +274,31 @@ class Lexicon:
     def n(self, word: str) -> int:
         return self.counts.get(word, 0)
 
+    def maybe(self, word: str) -> bool:
+        """Whether the word may be one of those that do not travel; never false for one that is."""
+        if self.others is None:
+            return False
+        at = zlib.crc32(word.encode("utf-8", "surrogatepass")) % FILTER
+        return bool(self.others[at >> 3] >> (at & 7) & 1)
+
+
+def rest_filter(words: DataFrame) -> np.ndarray | None:
+    """A filter of ``FILTER`` bits over (word); None if there is none."""
+    at = F.pmod(F.crc32("word"), F.lit(FILTER))
+    rows = words.groupBy(F.floor(at / 8).cast("int").alias("b")).agg(F.expr(f"bit_or(shiftleft(1, cast(pmod(crc32(word), {FILTER}) % 8 as int)))").alias("v")).collect()
+    if not rows:
+        return None
+    bits = np.zeros(FILTER // 8, np.uint8)
+    for b, v in rows:
+        bits[b] = v
+    return bits
+
 
 def sections(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """Lines and blocks of one section of a document together, in reading order; repeated rows once."""
-    a = name_free(lines, "instance_id", "engine", "page_number", "source_order", "block_id", "text").where("text IS NOT NULL")
+    if "confidence" not in lines.columns:
+        lines = lines.withColumn("confidence", F.lit(None).cast("double"))
+    a = name_free(lines, "instance_id", "engine", "page_number", "source_order", "block_id", "text", "confidence").where("text IS NOT NULL")
     page = F.coalesce("page_number", F.lit(0))
     home = F.floor((F.greatest(page, F.lit(1)) - 1) / PAGES).cast("int")
     rest = F.pmod(F.greatest(page, F.lit(1)) - 1, F.lit(PAGES))
@@ -277,16 +306,16 @@ def sections(lines: DataFrame, blocks: DataFrame) -> DataFrame:
         F.array(F.struct(home.alias("section"), F.lit(True).alias("own")), F.struct(F.when(rest == 0, home - 1).alias("section"), F.lit(False).alias("own")), F.struct(F.when(rest == PAGES - 1, home + 1).alias("section"), F.lit(False).alias("own"))),
         lambda p: p["section"].isNotNull() & (p["section"] >= 0),
     )
-    a = a.select("instance_id", "engine", F.inline(places), F.lit(0).alias("kind"), page.alias("page"), F.coalesce("source_order", F.lit(0)).alias("ord"), "block_id", "text")
+    a = a.select("instance_id", "engine", F.inline(places), F.lit(0).alias("kind"), page.alias("page"), F.coalesce("source_order", F.lit(0)).alias("ord"), "block_id", "text", F.col("confidence").cast("float").alias("confidence"))
     b = name_free(blocks, "instance_id", "engine", "block_id", "text", "page_numbers").where("text IS NOT NULL")
     start = F.floor((F.greatest(F.coalesce(F.array_min("page_numbers"), F.lit(1)), F.lit(1)) - 1) / PAGES).cast("int")
-    b = b.select("instance_id", "engine", start.alias("section"), F.lit(True).alias("own"), F.lit(1).alias("kind"), F.lit(0).alias("page"), F.lit(0).alias("ord"), "block_id", "text")
+    b = b.select("instance_id", "engine", start.alias("section"), F.lit(True).alias("own"), F.lit(1).alias("kind"), F.lit(0).alias("page"), F.lit(0).alias("ord"), "block_id", "text", F.lit(None).cast("float").alias("confidence"))
     keys = ["instance_id", "engine", "section"]
     return a.unionAll(b).repartition(*keys).sortWithinPartitions(*keys, "kind", "page", "ord", "block_id")
 
 
 class _Line:
-    __slots__ = ("page", "ord", "block", "text", "body", "at", "own", "first", "last", "furniture", "tokens", "repeated", "prev", "item")
+    __slots__ = ("page", "ord", "block", "text", "body", "at", "own", "first", "last", "furniture", "tokens", "confidence")
 
 
 def _sheets(part: pa.Table) -> Iterator[tuple[str, str, list[_Line], list[tuple]]]:
@@ -309,6 +338,7 @@ def _sheets(part: pa.Table) -> Iterator[tuple[str, str, list[_Line], list[tuple]
                     line = _Line()
                     line.page, line.ord, line.block, line.own = at[0], at[1], cols["block_id"][j], cols["own"][j]
                     line.text = plain(at[2])
+                    line.confidence = cols["confidence"][j]
                     line.at = marker(line.text, line.block)
                     line.tokens = line.text[line.at :].split()
                     line.body = line.text[line.at :].strip()
@@ -356,6 +386,7 @@ def _suspects(lines: list[_Line], lex: Lexicon) -> Iterator[tuple[_Line, list[fl
             float(repeated[_key(line.text)] > 1 and line.first), float(bool(tail) and tail.group(1) == str(line.page)),
             sum(c.isupper() for c in letters) / len(letters) if letters else 0.0, float(line.body[:1].islower()), float(line.body[-1] in ".?!,;"),
             float(before[-1:] in ".?!”" if before else 1.0), float(any(c in line.body for c in "·|–")), float(len(line.body)),
+            -1.0 if line.confidence is None else line.confidence,
         ]
 
 
@@ -477,7 +508,7 @@ def fit_lines(paged: DataFrame, lex: Lexicon, documents: int) -> tuple[Boosted |
             return None
         return Boosted(trees=25).fit(np.array([x[i] for i in at]).reshape(-1, width), label[at])
 
-    return fit(kind == 0, 16, y), None if not len(kind) else _fit_join(kind, x)
+    return fit(kind == 0, 17, y), None if not len(kind) else _fit_join(kind, x)
 
 
 def _fit_join(kind: np.ndarray, x: list[list[float]]) -> Boosted | None:
@@ -520,14 +551,15 @@ def view_of(token: str, lex: Lexicon) -> tuple | None:
     return tuple(found) or end
 
 
-_OUT = "table_name string, instance_id string, engine string, item string, kind string, word string, part string"
+_OUT = "table_name string, instance_id string, engine string, item string, kind string, word string, part string, rarer long"
 
 
 def marked(paged: DataFrame, lex: Lexicon, furniture: Boosted | None, joins: Boosted | None) -> DataFrame:
-    """Rows (table_name, instance_id, engine, item, kind, word, part).
+    """Rows (table_name, instance_id, engine, item, kind, word, part, rarer).
 
     ``kind`` is a verdict (hyphen, misread, furniture), or ``ask`` for a ``word`` the lexicon does not hold, or
-    ``join?`` for a broken word whose whole (``word``) it does not hold. ``part`` is the text a repair has to replace.
+    ``join?`` for a broken word whose whole (``word``) it does not hold, with the count of its ``rarer`` part. ``part`` is
+    the text a repair has to replace.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,7 +591,7 @@ def marked(paged: DataFrame, lex: Lexicon, furniture: Boosted | None, joins: Boo
                             continue
                         if (kind, word, text) not in told:
                             told.add((kind, word, text))
-                            rows.append((*key, kind, word, text))
+                            rows.append((*key, kind, word, text, None))
 
             def views_of(tokens: list[str]) -> list:
                 out = []
@@ -582,8 +614,8 @@ def marked(paged: DataFrame, lex: Lexicon, furniture: Boosted | None, joins: Boo
                     if f is not None:
                         pending.append((a, b, key, f"{ta[-1]} {tb[0]}"))
                         wanted.append(f)
-                    elif not p[1] and p[2][:1].islower() and (not lex.n(p[0]) or not lex.n(p[2])) and a.own:
-                        rows.append((*key, "join?", p[0] + p[2], f"{ta[-1]} {tb[0]}"))
+                    elif not p[1] and p[2][:1].islower() and (not lex.n(p[0]) or not lex.n(p[2]) or lex.maybe(p[0] + p[2])) and a.own:
+                        rows.append((*key, "join?", p[0] + p[2], f"{ta[-1]} {tb[0]}", min(lex.n(p[0]), lex.n(p[2]))))
             verdict = np.zeros(0)
             if wanted:
                 verdict = _joined(wanted, joins)
@@ -593,7 +625,7 @@ def marked(paged: DataFrame, lex: Lexicon, furniture: Boosted | None, joins: Boo
                 if yes:
                     cut_after.add(id(a)), cut_before.add(id(b))
                     if a.own:
-                        rows.append((*key, "hyphen", None, text))
+                        rows.append((*key, "hyphen", None, text, None))
 
             block_pending: list[tuple] = []
             block_wanted: list[list[float]] = []
@@ -606,7 +638,7 @@ def marked(paged: DataFrame, lex: Lexicon, furniture: Boosted | None, joins: Boo
                         after = next((lines[i].body for i in range(k + 1, min(len(lines), k + 4)) if lines[i].body), "")
                         inner[line.block].append((line.body, before, after))
                         if line.own:
-                            rows.append((*key, "furniture", None, line.body))
+                            rows.append((*key, "furniture", None, line.body, None))
                     elif line.own and line.body:
                         views = views_of(line.tokens)
                         if any(views):
@@ -630,7 +662,7 @@ def marked(paged: DataFrame, lex: Lexicon, furniture: Boosted | None, joins: Boo
                                     whole = " ".join(whole.split())
                             if at >= 0:
                                 hit = True
-                                rows.append((*key, "furniture", None, body))
+                                rows.append((*key, "furniture", None, body, None))
                                 start = at + (len(near[0]) + 1 if short and all(near) else 0)
                                 text = text[:start] + text[start + len(body) :].lstrip()
                     tokens = text.split()
@@ -651,14 +683,14 @@ def marked(paged: DataFrame, lex: Lexicon, furniture: Boosted | None, joins: Boo
                             block_wanted.append(f)
                             if _sure_join(f):
                                 gone |= {k, k + 1}
-                        elif not p[1] and (not lex.n(p[0]) or not lex.n(p[2])):
-                            rows.append((*key, "join?", p[0] + p[2], f"{a} {b}"))
+                        elif not p[1] and (not lex.n(p[0]) or not lex.n(p[2]) or lex.maybe(p[0] + p[2])):
+                            rows.append((*key, "join?", p[0] + p[2], f"{a} {b}", min(lex.n(p[0]), lex.n(p[2]))))
                     judge(tokens, gone, key, views)
             if block_wanted:
                 learned = _joined(block_wanted, joins)
-                rows += [(*key, "hyphen", None, text) for (key, text), yes in zip(block_pending, learned) if yes]
-            columns = list(zip(*rows)) if rows else [[] for _ in range(7)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], [x.split()[0] for x in _OUT.split(", ")])
+                rows += [(*key, "hyphen", None, text, None) for (key, text), yes in zip(block_pending, learned) if yes]
+            columns = list(zip(*rows)) if rows else [[] for _ in range(8)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:7]] + [pa.array(columns[7], pa.int64())], [x.split()[0] for x in _OUT.split(", ")])
 
         yield from grouped(batches, ["instance_id", "engine", "section"], work)
 
@@ -676,11 +708,17 @@ class Repair:
         sound = counted.where("n + first >= 2").join(self.words.select(F.col("seen").alias("word")), "word", "left_anti")
         carried = sound.orderBy(F.desc(F.col("n") + F.col("first")), "word").limit(CARRIED).toArrow()
         words, n, first = (carried.column(i).to_pylist() for i in range(3))
+        least = 5
+        others = None
+        if len(words) == CARRIED:
+            # The rarest that travels, in the order of the sort; what comes after it is only in the filter.
+            weight, last = n[-1] + first[-1], words[-1]
+            beyond = (F.col("n") + F.col("first") < weight) | ((F.col("n") + F.col("first") == weight) & (F.col("word") > last))
+            others = rest_filter(sound.where(beyond & (F.col("n") >= least)).select("word"))
         total = counted.agg(F.sum("n"), F.sum("first")).first()
         body, head = (total[0] or 0) + 1, (total[1] or 0) + 1
         edge = {w: math.log((f + 0.5) / head) - math.log((c + 0.5) / body) for w, c, f in zip(words, n, first)}
-        least = 5
-        lex = Lexicon({w: c for w, c in zip(words, n) if c >= 2}, edge, least)
+        lex = Lexicon({w: c for w, c in zip(words, n) if c >= 2}, edge, least, others)
         self.paged = sections(lines, blocks)
         documents = name_free(blocks, "instance_id", "engine").agg(F.approx_count_distinct("instance_id")).first()[0]
         furniture, joins = fit_lines(self.paged, lex, documents)
@@ -688,8 +726,8 @@ class Repair:
         keys = ["table_name", "instance_id", "engine", "item"]
         known = found.where("kind NOT IN ('ask', 'join?')").select(*keys, "kind", "part", "word")
         asked = found.where("kind = 'ask'").join(self.words, found["word"] == self.words["seen"]).select(*keys, F.lit("misread").alias("kind"), "part", "word")
-        whole = counted.where(F.col("n") >= least).select("word").join(self.words.select(F.col("seen").alias("word")), "word", "left_anti")
-        joined = found.where("kind = 'join?'").join(whole, "word").select(*keys, F.lit("hyphen").alias("kind"), "part", "word")
+        whole = counted.where(F.col("n") >= least).select("word", "n").join(self.words.select(F.col("seen").alias("word")), "word", "left_anti")
+        joined = found.where("kind = 'join?'").join(whole, "word").where(F.log((F.col("n") + 0.5) / (F.col("rarer") + 0.5)) > 1.0).select(*keys, F.lit("hyphen").alias("kind"), "part", "word")
         self.verdicts = known.unionAll(asked).unionAll(joined)
 
 

@@ -209,6 +209,27 @@ def test_scan_noise(spark):
     assert ("x", "b01", "hyphen") in own
 
 
+def test_a_misreading_at_the_top_of_a_page_is_found(spark):
+    lines, blocks, _ = _scanned(spark)
+    rows = [("y", "e", 1, 0, "b01", "b01: The harbour of the timber records 20 cartons", None, None, None, None), ("y", "e", 2, 0, "b01", "of the warehousc during the sulphur inspection", None, None, None, None)]
+    found = scan_noise.noisy_items(lines.union(spark.createDataFrame(rows, LINE)), blocks.union(spark.createDataFrame([("y", "e", "b01", "of the warehousc", [1, 2], None)], BLOCK)))
+    assert {(r.table_name, r.item, r.kind) for r in found.where("instance_id = 'y'").collect()} == {("ocr_lines", "2:0", "misread"), ("ocr_blocks", "b01", "misread")}
+
+
+def test_broken_words_beyond_the_carried_lexicon_are_found(spark, monkeypatch):
+    lines, blocks, _ = _scanned(spark)
+    rows = []
+    for k in range(6):
+        rows += [("z", "e", 1, 2 * k, "b01", "the gravel moonlight of the copper", None, None, None, None), ("z", "e", 1, 2 * k + 1, "b01", "moon the furnace light the lumber", None, None, None, None)]
+    rows += [("w", "e", 1, 0, "b01", "b01: The harbour of the moon", None, None, None, None), ("w", "e", 1, 1, "b01", "light carries 20 barrels.", None, None, None, None)]
+    rows += [("v", "e", 1, k, "b01", "moonlight moonlight of the timber", None, None, None, None) for k in range(20)]
+    lines = lines.union(spark.createDataFrame(rows, LINE))
+    for carried in (100_000, 4):
+        monkeypatch.setattr(scan_noise, "CARRIED", carried)
+        found = {(r.instance_id, r.item) for r in scan_noise.noisy_items(lines, blocks).where("kind = 'hyphen' AND table_name = 'ocr_lines'").collect()}
+        assert {("w", "1:0"), ("x", "1:0"), ("x", "1:3")} <= found
+
+
 def test_repaired_blocks(spark):
     lines, blocks, _ = _scanned(spark)
     texts = {(r.instance_id, r.block_id): r.text for r in scan_noise.repaired_blocks(lines, blocks).collect()}
