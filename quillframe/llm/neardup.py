@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm import graph, setjoin
-from quillframe.llm.common import cut, name_free, words
+from quillframe.llm.common import cut, name_free, salted_join, words
 
 LEAST_WORDS = 12
 SIMILARITY = 0.75
@@ -22,11 +22,12 @@ def query_sets(tasks: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def members_to_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Expand links between sets, and the copies within each set, to pairs of different instances."""
+    """Expand links between sets, and the copies within each set, to pairs of different instances; the members of a set
+    with very many copies are dealt into cells."""
     a = members.select(F.col("id").alias("x"), F.col("set_id").alias("a"))
     b = members.select(F.col("id").alias("y"), F.col("set_id").alias("b"))
-    between = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    within = a.withColumnRenamed("a", "b").join(b, "b").where("x < y").select("x", "y")
+    between = salted_join(salted_join(links.select("a", "b"), a, "a"), b, "b").select("x", "y")
+    within = salted_join(a.withColumnRenamed("a", "b"), b, "b").where("x < y").select("x", "y")
     pair = between.unionByName(within).where("x != y")
     return pair.select(F.least("x", "y").alias("instance_id_a"), F.greatest("x", "y").alias("instance_id_b")).distinct()
 
