@@ -40,7 +40,10 @@ CELL_ROWS = 20_000
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = CELL_ROWS) -> DataFrame:
     """Inner join on ``key``; the rows of a key that ``left`` has more than ``rows`` times lie in several cells, and
-    those of ``right`` in each of them, so that no task gets the whole of a hot key."""
+    those of ``right`` in each of them, so that no task gets the whole of a hot key.
+
+    ``left`` is read twice, so it should be stored or cheap.
+    """
     heavy = left.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("_cells")).where("_cells > 1")
     cells = F.coalesce("_cells", F.lit(1))
     spread = left.join(heavy, key, "left").withColumn("_cell", F.pmod(F.xxhash64(*left.columns), cells).cast("int")).drop("_cells")

@@ -239,7 +239,7 @@ def cross_split_pairs(tasks: DataFrame, similarity: float = SIMILARITY, least: i
     # Equal texts are one text of the array, with both sides.
     same = reps.where("train = 1 AND held = 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
     files = rows.where("file IS NOT NULL")
-    return _instances(near.unionByName(same), texts.select("instance_id", "side", "set_id").distinct(), files.select("instance_id", "side", "file").distinct())
+    return _instances(cut(near.unionByName(same)), texts.select("instance_id", "side", "set_id").distinct(), files.select("instance_id", "side", "file").distinct())
 
 
 def _instances(links: DataFrame, texts: DataFrame, files: DataFrame) -> DataFrame:

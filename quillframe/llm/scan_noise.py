@@ -183,7 +183,7 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), *[batch.column(c).take(at) for c in ("word", "n", "all", "folded")]], ["gram", "word", "n", "all", "folded"])
 
-    index = hashed.mapInArrow(rarest, "gram long, word string, n long, all long, folded string")
+    index = cut(hashed.mapInArrow(rarest, "gram long, word string, n long, all long, folded string"))
     seen = index.select("gram", F.col("word").alias("seen"), F.col("all").alias("seen_n"), F.col("folded").alias("seen_f"))
     meant = index.where(F.col("n") >= RATIO).select("gram", F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.col("folded").alias("meant_f"))
     near = (F.col("meant_n") >= RATIO * F.col("seen_n")) & (F.abs(F.length("seen_f") - F.length("meant_f")) <= DISTANCE)
