@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.hashing import ranked, text_sha
+from quillframe.session import cut
 
 
 def shards(df: DataFrame, key: str, seed: str, n: int, *parts: Column) -> DataFrame:
@@ -51,3 +54,32 @@ def unanimous(passes: DataFrame, key: str, decision: list[str], n_passes: int) -
 def route(same: Column, reliable: Column, confirmed: Column) -> Column:
     """Where a reviewed row goes: confirmed, excluded, candidate or needs_review."""
     return F.when(same & reliable, "confirmed").when(~same & confirmed, "excluded").when(reliable, "candidate").otherwise("needs_review")
+
+
+def limited(todo: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """The first ``n`` rows still to do; no number means all, and one below 1 is an error, not an empty run."""
+    if n is None:
+        return todo
+    if n < 1:
+        raise ValueError("a limit is at least 1")
+    return todo.orderBy(*order).limit(n)
+
+
+def retried(todo: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], key: str, rounds: int) -> DataFrame:
+    """``attempt(rows, round)`` on all rows, then on those that failed, in at most ``rounds`` rounds.
+
+    An attempt gives one row per key with a ``status``.  A later round's result takes the place of an earlier failure; what
+    never succeeds keeps its last failure.  Every round is stored, so a lost executor repeats none of the earlier ones.
+    """
+    if rounds < 1:
+        raise ValueError("at least one round")
+    done, rest = None, todo
+    for turn in range(rounds):
+        now = cut(attempt(rest, turn))
+        good = now.where("status = 'ok'")
+        failed = now.where("coalesce(status, '') != 'ok'")
+        done = good if done is None else done.unionByName(good)
+        if turn == rounds - 1 or failed.isEmpty():
+            return done.unionByName(failed)
+        rest = rest.join(failed.select(key), key, "left_semi")
+    return done

@@ -6,8 +6,11 @@ import hashlib
 import io
 import json
 import os
+import platform
+import shutil
 import tarfile
 import tempfile
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -122,3 +125,33 @@ def manifest(files: dict[str, bytes]) -> bytes:
 def prompt_safe(text: F.Column) -> F.Column:
     """Angle brackets as escapes, so that data cannot close the delimiter around it."""
     return F.replace(F.replace(text, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e"))
+
+
+#: The file that marks a folder as one this package may replace.
+OWNED = ".quillframe-owned"
+
+
+def managed(path: str | Path) -> Path:
+    """An empty folder for reports: a new one, or one this package made before; any other folder with content is an error."""
+    folder = Path(path)
+    if folder.is_symlink() or (folder.exists() and not folder.is_dir()):
+        raise FileExistsError(f"{folder} is no folder of its own")
+    if folder.exists() and any(folder.iterdir()):
+        if not (folder / OWNED).is_file():
+            raise FileExistsError(f"{folder} holds files of others")
+        shutil.rmtree(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / OWNED).write_text("")
+    return folder
+
+
+def environment(packages: tuple[str, ...] = ("pyspark", "pyarrow", "numpy", "pandas")) -> bytes:
+    """The platform, the interpreter and the versions of packages as JSON with sorted keys; a missing package is null."""
+    found: dict[str, str | None] = {}
+    for name in packages:
+        try:
+            found[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            found[name] = None
+    told = {"platform": platform.system(), "machine": platform.machine(), "python": platform.python_version(), "packages": found}
+    return (json.dumps(told, sort_keys=True) + "\n").encode()
