@@ -42,8 +42,8 @@ FLUSH = 400_000
 SPIKE, RISE = 20, 10
 #: Lengths on either side that tell the usual number.
 AROUND = 8
-#: The strongest limits kept, over all sources.
-LIMITS = 4_096
+#: Limits up to which every task gets the whole list; more of them are joined by a shuffle, with the same result.
+LISTED = 4_096
 
 _END = r"""[.?!。？！](?:["”’'»“)\]]*)$"""
 _ENDED = re.compile(r"[.?!。？！][\"”’'»“)\]]*$")
@@ -123,26 +123,32 @@ def token_key(text: str, source: str | None, most: int | None) -> list[str]:
     return [f"tokens\t{source or ''}\t{len(text) * 4 // most}"] if most and most > 0 else []
 
 
-def limits(counts: DataFrame) -> list[str]:
-    """Keys of the lengths at which far more blocks break off in running text than at the lengths around. Headings of
-    one form may share a length as well, so they show no limit by themselves.
+def limits(counts: DataFrame) -> DataFrame:
+    """(length_key) of all lengths at which far more blocks break off in running text than at the lengths around.
+    Headings of one form may share a length as well, so they show no limit by themselves.
     """
     part = F.split("key", "\t")
     own = counts.where("kind = 'length' AND open > 0").select("key", "open", part[0].alias("unit"), part[1].alias("source"), F.element_at(part, -1).cast("long").alias("length"))
     near = Window.partitionBy("unit", "source").orderBy("length").rangeBetween(-AROUND, AROUND)
     usual = (F.sum("open").over(near) - F.col("open")) / (2 * AROUND)
     high = own.withColumn("usual", usual).where((F.col("open") >= SPIKE) & (F.col("open") >= RISE * F.col("usual")))
-    return [r.key for r in high.orderBy(F.desc("open"), "key").limit(LIMITS).collect()]
+    return high.select(F.col("key").alias("length_key"))
 
 
-def at_limit(keys: list[str]) -> Column:
-    """Whether a text of ``texts_of`` has one of the lengths in ``keys``."""
+def at_limit(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``texts`` with ``limit``: whether a text has one of the lengths in ``keys``, of which there is any number."""
     chars, size = F.length("text"), F.octet_length("text")
     key = lambda unit, n: F.concat_ws("\t", unit, F.coalesce("source", F.lit("")), n.cast("string"))
-    plain = chars == size
-    told = key(F.lit("tokens"), F.floor(chars * 4 / F.col("most"))).isin(keys) & (F.col("most") > 0)
-    hit = key(F.when(plain, "ascii").otherwise("chars"), chars).isin(keys) | (~plain & key(F.lit("bytes"), size).isin(keys))
-    return F.coalesce(F.when(F.col("table_name") == "ocr_blocks", hit).otherwise(told), F.lit(False))
+    block, plain = F.col("table_name") == "ocr_blocks", chars == size
+    told = F.when(F.col("most") > 0, key(F.lit("tokens"), F.floor(chars * 4 / F.col("most"))))
+    first = F.when(block, key(F.when(plain, "ascii").otherwise("chars"), chars)).otherwise(told)
+    keys = cut(keys.withColumn("hit", F.lit(True)))
+    known = F.broadcast(keys) if keys.count() <= LISTED else keys
+    columns = texts.columns
+    # A text that is not ASCII has a second length, in bytes.
+    for length_key, hit in ((first, "hit_first"), (F.when(block & ~plain, key(F.lit("bytes"), size)), "hit_second")):
+        texts = _looked_up(texts.withColumn("length_key", length_key), known.withColumnRenamed("hit", hit), "length_key").drop("length_key")
+    return texts.select(*columns, F.coalesce("hit_first", "hit_second", F.lit(False)).alias("limit"))
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -286,7 +292,7 @@ def judged_by(blocks: DataFrame, results: DataFrame) -> DataFrame:
     counts = cut(counted(texts))
     schema = "table_name string, instance_id string, source string, item string, certain string, limit boolean, stopped boolean, point string, start_key string, first_key string, second_key string, layout string, size int, size_key string, end_key string, last string"
     # Texts that end in a full stop after a word need no judging, unless they are JSON or tags, or as long as a limit.
-    texts = texts.withColumn("limit", at_limit(limits(counts)))
+    texts = at_limit(texts, limits(counts))
     open_end = ~F.col("text").rlike(r"[^\W\d_][.?!][\"”’'»“)\]]*\s*$") | (F.col("table_name") == "results") | F.col("limit")
     facts = cut(texts.where(open_end).mapInArrow(_facts, schema))
     sure = facts.where("certain IS NOT NULL").withColumn("evidence", F.col("certain"))

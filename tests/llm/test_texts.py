@@ -268,6 +268,13 @@ def test_lengths_tell_cut_headings_and_abbreviations(spark):
     assert not found & ({"s1", "s2"} | {r[0] for r in kept + known})
 
 
+def test_every_length_limit_counts_however_many_there_are(spark):
+    n, text = 4_100, "It was so. Then the goods of the station"
+    rows = spark.range(n * 21).selectExpr("concat('i', id) AS instance_id", "concat('e', id % {0}) AS engine".format(n), "'b01' AS block_id", f"if(id < {n}, rpad('Report', {len(text)}, ' xx'), '{text}') AS text")
+    cases = truncation.judged_by(rows, _truncation_tables(spark)[1]).where("table_name = 'ocr_blocks'")
+    assert {(r.evidence, r["count"]) for r in cases.groupBy("evidence").count().collect()} == {("length limit", n * 21)}
+
+
 def test_bigrams_are_counted_over_all_documents(spark, monkeypatch):
     seen, real = [], garbled.scored
     monkeypatch.setattr(garbled, "scored", lambda runs, counts: (seen.append(counts), real(runs, counts))[1])
