@@ -32,8 +32,6 @@ ISLANDS = 4
 ROUNDS = 3
 GENERATIONS = 10
 POPULATION = 6
-#: Group entries an island may touch in one round; large capacities get fewer generations, at least one.
-EFFORT = 1_000_000
 #: Items of one size that are numbered in one bucket.
 RANKED = 100_000
 
@@ -44,7 +42,10 @@ Solution = dict[Filling, int]
 
 
 def used(filling: Filling) -> int:
-    return sum(size * n for size, n in filling)
+    tokens = 0
+    for size, n in filling:
+        tokens += size * n
+    return tokens
 
 
 def merged(filling: Filling, size: int, n: int) -> Filling:
@@ -134,7 +135,11 @@ def crossover(giver: Solution, taker: Solution, items: dict[int, int], capacity:
     rng.shuffle(rest)
     for filling, m in rest:
         # A bin stays if none of its items is in an injected one.
-        if keep := min(m, min(left[size] // n for size, n in filling)):
+        keep = m
+        for size, n in filling:
+            if left[size] < n * keep:
+                keep = left[size] // n
+        if keep:
             out[filling] += keep
             for size, n in filling:
                 left[size] -= n * keep
@@ -161,26 +166,29 @@ def mutate(solution: Solution, capacity: int, rng: random.Random) -> Solution:
 def evolve(items: dict[int, int], capacity: int, seeds: list[Solution], generations: int, rng: random.Random) -> Solution:
     """The best solution an island finds from best fit, shuffled starts and the elites it was given."""
     least = bound(items, capacity)
-    pool = [*seeds, best_fit({}, items, capacity)]
 
-    def rate(solution: Solution) -> tuple[int, float]:
-        return fitness(solution, capacity)
+    def rated(solution: Solution) -> tuple[tuple[int, float], Solution]:
+        return fitness(solution, capacity), solution
+
+    def rate(member: tuple[tuple[int, float], Solution]) -> tuple[int, float]:
+        return member[0]
 
-    while len(pool) < POPULATION and -rate(max(pool, key=rate))[0] > least:
+    # Every solution is rated once, when it is made.
+    pool = [rated(s) for s in (*seeds, best_fit({}, items, capacity))]
+    while len(pool) < POPULATION and -max(map(rate, pool))[0] > least:
         head = {s: min(n, _some(n, 0.35, rng)) for s, n in items.items()}
-        pool.append(best_fit(best_fit({}, head, capacity), {s: n - head[s] for s, n in items.items()}, capacity))
-    entries = sum(len(f) for f in pool[-1]) * (POPULATION - 2)
-    for _ in range(max(1, min(generations, EFFORT // max(1, entries)))):
+        pool.append(rated(best_fit(best_fit({}, head, capacity), {s: n - head[s] for s, n in items.items()}, capacity)))
+    for _ in range(generations):
         pool.sort(key=rate, reverse=True)
         if -rate(pool[0])[0] <= least:
             break
         children = []
         for k in range(POPULATION - 2):
             giver, taker = pool[0] if k % 2 else rng.choice(pool), rng.choice(pool)
-            child = crossover(giver, taker, items, capacity, rng)
-            children.append(mutate(child, capacity, rng) if rng.random() < 0.5 else child)
+            child = crossover(giver[1], taker[1], items, capacity, rng)
+            children.append(rated(mutate(child, capacity, rng) if rng.random() < 0.5 else child))
         pool = pool[:2] + children
-    return max(pool, key=rate)
+    return max(pool, key=rate)[1]
 
 
 _ELITE = "kind string, island int, m array<int>, width array<int>, size array<int>, n array<int>"
@@ -310,16 +318,19 @@ def _find(t: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def _numbered(rest: DataFrame, items: dict[str, dict[int, int]]) -> DataFrame:
-    """``rest`` with the number of every item among those of its kind and size; sizes with very many items are numbered
-    in buckets of a hash, whose sizes are then added up."""
+    """``rest`` with the number of every item among those of its kind and size, in the order of a hash; sizes with very
+    many items are numbered in buckets, ranges of the hash whose sizes are then added up, to the same numbers."""
     spark = rest.sparkSession
     hot = [(k, s, math.ceil(n / RANKED)) for k, own in items.items() for s, n in own.items() if n > RANKED]
-    order = Window.partitionBy("kind", "tokens", "bucket").orderBy("doc_id")
+    order = Window.partitionBy("kind", "tokens", "bucket").orderBy("hash", "doc_id")
+    # 31 bits of the hash tell the bucket, so that its product with the number of buckets stays exact.
+    rest = rest.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
     if not hot:
-        return rest.withColumn("bucket", F.lit(0)).withColumn("number", F.row_number().over(order).cast("long") - 1).drop("bucket")
+        return rest.withColumn("bucket", F.lit(0)).withColumn("number", F.row_number().over(order).cast("long") - 1).drop("bucket", "hash")
     # At most one row for each size of a kind.
     buckets = F.broadcast(spark.createDataFrame(hot, "kind string, tokens long, buckets int"))
-    dealt = rest.join(buckets, ["kind", "tokens"], "left").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.coalesce("buckets", F.lit(1))))
+    bucket = F.shiftright(F.shiftright("hash", 32) * F.coalesce("buckets", F.lit(1)), 31)
+    dealt = rest.join(buckets, ["kind", "tokens"], "left").withColumn("bucket", bucket)
     counts = dealt.where("buckets IS NOT NULL").groupBy("kind", "tokens", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("kind", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = counts.select("kind", "tokens", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

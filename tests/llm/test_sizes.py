@@ -102,6 +102,25 @@ def test_sizes_with_very_many_items_are_numbered_in_buckets(spark, monkeypatch):
     assert max(used.values()) <= 7 and len(used) == 15
 
 
+def test_number_of_generations_is_the_same_for_every_input(monkeypatch):
+    calls = []
+    monkeypatch.setattr(packing, "crossover", lambda giver, taker, *_: (calls.append(1), taker)[1])
+    # Sizes of which three fit together and no two are the same, so the bound is never reached.
+    for n in (30, 60_000):
+        calls.clear()
+        packing.evolve(dict.fromkeys(range(260_000, 260_000 + n), 1), 1_000_000, [], 10, random.Random(1))
+        assert len(calls) == 10 * (packing.POPULATION - 2)
+
+
+def test_containers_are_the_same_with_and_without_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a", "" if i % 3 else "one two three", 1, "k") for i in range(90)], DOC)
+    found = []
+    for most in (7, 29, 100_000):
+        monkeypatch.setattr(packing, "RANKED", most)
+        found.append(sorted(map(tuple, packing.packed(docs, containers(spark, [("k", 7)])).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 90
+
+
 def test_packing_of_empty_tables(spark):
     docs = documents(spark)
     assert packing.packed(docs.where("1 = 0"), containers(spark, [("a", 10)])).count() == 0
